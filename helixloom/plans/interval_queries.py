@@ -78,7 +78,7 @@ def _(t):
 _COV = """u AS (SELECT chrom, min(start) AS start, max(stop) AS stop FROM (
         SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM (
           SELECT *, max(stop) OVER (PARTITION BY chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fx_regions) s) g GROUP BY chrom, island),
-     cov AS (SELECT c.name, c.chrom, c.start, c.stop, CAST(coalesce(sum(least(c.stop, u.stop) - greatest(c.start, u.start)), 0) AS BIGINT) AS covered
+     cov AS (SELECT c.name, c.chrom, c.start, c.stop, CAST(sum(CASE WHEN u.start IS NULL THEN 0 ELSE least(c.stop, u.stop) - greatest(c.start, u.start) END) AS BIGINT) AS covered
         FROM fx_calls c LEFT JOIN u ON c.chrom = u.chrom AND c.start < u.stop AND u.start < c.stop GROUP BY c.name, c.chrom, c.start, c.stop)"""
 
 
