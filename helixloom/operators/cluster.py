@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import is_carrier, joined, reciprocal_ok, tile_of
+from ..session import cut_lineage
 from .graph import connected_components, label_components
 from .intervals import assign_islands, reciprocal_join
 
@@ -76,6 +77,7 @@ def slink_single_end(df, dist: int, key="name", chr_a="chr_a", pos_a="pos_a", ch
     d = assign_islands(d.withColumn("_e", F.col(pos_b) + dist - 1), by=g, start=pos_b, stop="_e", name="_ib").drop("_e")
     gid = [F.col(c) for c in g]
     d = d.withColumn("_u", _cell_id(F.lit("a"), *gid, F.col("_ia"))).withColumn("_v", _cell_id(F.lit("b"), *gid, F.col("_ib")))
+    d = cut_lineage(d)  # read by the graph and by the final join
     cc = connected_components(d.select("_u", "_v").distinct(), "_u", "_v").withColumnsRenamed({"node": "_u", "component": "_cc"})
     d = d.join(cc, "_u").drop("_u", "_v", "_ia", "_ib", "_batch")
     return name_clusters(d, "_cc", pos_a, key, name)

@@ -16,7 +16,7 @@ from ..session import cut_lineage
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -26,17 +26,22 @@ def _small_star(e: DataFrame) -> DataFrame:
     return links.unionByName(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _is_star(e: DataFrame) -> bool:
+    """Every non-root has one edge and no root hangs below another node: nothing left to do."""
+    heads = e.groupBy("u").agg(F.count("*").alias("n"))
+    many = heads.where("n > 1").select(F.lit(1).alias("bad"))
+    deep = e.select(F.col("v").alias("u")).distinct().join(heads, "u", "left_semi").select(F.lit(1).alias("bad"))
+    return many.unionByName(deep).limit(1).count() == 0
+
+
 def connected_components(edges: DataFrame, src="u", dst="v", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node with an edge; the component is its smallest node."""
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    sig = None
     for _ in range(max_rounds):
-        e = cut_lineage(_small_star(_large_star(e)))
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == sig:
+        if _is_star(e):
             break
-        sig = now
+        e = cut_lineage(_small_star(_large_star(e)))
     else:
         raise RuntimeError("connected components did not converge")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
