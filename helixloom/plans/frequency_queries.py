@@ -91,12 +91,12 @@ def _(t):
 
 
 _IQR = """q AS (SELECT svtype, quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS md, quantile_cont(n, 0.75) AS q3 FROM c GROUP BY svtype),
-  o AS (SELECT sample, c.svtype, n, q1 - 1.0 * (q3 - q1) AS lower, q3 + 1.0 * (q3 - q1) AS upper FROM c JOIN q ON q.svtype = c.svtype WHERE md >= 5 AND (n < q1 - 1.0 * (q3 - q1) OR n > q3 + 1.0 * (q3 - q1)))"""
+  o AS (SELECT sample, c.svtype, n, q1 - 0.25 * (q3 - q1) AS lower, q3 + 0.25 * (q3 - q1) AS upper FROM c JOIN q ON q.svtype = c.svtype WHERE md >= 5 AND (n < q1 - 0.25 * (q3 - q1) OR n > q3 + 0.25 * (q3 - q1)))"""
 
 
 @query("sample_count_iqr_outliers", f"WITH {_COUNTS}, {_IQR} SELECT * FROM o")
 def _(t):
-    return out.iqr_outliers(out.count_svtypes(t.carriers, t.sites, t.samples), k=1.0, min_median=5)
+    return out.iqr_outliers(out.count_svtypes(t.carriers, t.sites, t.samples), k=0.25, min_median=5)
 
 
 @query(
@@ -118,7 +118,7 @@ def _(t):
       SELECT * FROM kept WHERE vid IN (SELECT vid FROM kept WHERE coalesce(a1, 0) > 0 OR coalesce(a2, 0) > 0)""",
 )
 def _(t):
-    bad = out.iqr_outliers(out.count_svtypes(t.carriers, t.sites, t.samples), k=1.0, min_median=5)
+    bad = out.iqr_outliers(out.count_svtypes(t.carriers, t.sites, t.samples), k=0.25, min_median=5)
     return out.exclude_samples(t.genotypes.select("vid", "sample", "a1", "a2"), bad)
 
 

@@ -125,6 +125,18 @@ FIXTURES: dict[str, str] = {
         SELECT concat('chr', CAST(1 + user_id % 5 AS STRING)) AS chrom, (event_id * 37) % 2000000 AS pos,
           (CAST(floor(value) AS BIGINT) % 100) / 100.0 AS baf, concat('S', CAST(user_id % 40 AS STRING)) AS sample
         FROM events""",
+    # breakpoint records in linked clusters (one cluster per order)
+    "fx_breaks": """
+        SELECT concat('b', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING), '_', CAST(l_partkey AS STRING), '_', CAST(l_suppkey AS STRING), '_', CAST(CAST(l_quantity AS BIGINT) AS STRING)) AS vid,
+          concat('c', CAST(l_orderkey AS STRING)) AS cluster, concat('chr', CAST(1 + l_orderkey % 5 AS STRING)) AS chrom,
+          CASE WHEN l_orderkey % 5 = 1 AND l_linenumber <= 4 THEN concat('chr', CAST(1 + (l_orderkey + 1) % 5 AS STRING)) ELSE concat('chr', CAST(1 + l_orderkey % 5 AS STRING)) END AS chr2,
+          CASE WHEN l_linenumber > 5 THEN 'DEL' WHEN l_linenumber = 5 THEN 'DUP' WHEN l_orderkey % 5 IN (0, 4) THEN 'INV' WHEN l_orderkey % 5 = 3 AND l_linenumber <= 2 THEN 'INS' ELSE 'BND' END AS svtype,
+          CASE WHEN l_linenumber > 5 THEN '+-' WHEN l_linenumber = 5 THEN '-+' WHEN l_orderkey % 5 IN (0, 4) THEN CASE WHEN l_linenumber % 2 = 0 THEN '++' ELSE '--' END
+            WHEN l_orderkey % 10 < 5 THEN CASE WHEN l_linenumber % 2 = 0 THEN '++' ELSE '--' END ELSE CASE WHEN l_linenumber % 2 = 0 THEN '+-' ELSE '-+' END END AS strands,
+          1 + (l_orderkey * 1237) % 1900000 + (l_partkey % 9) * 150 AS pos,
+          1 + (l_orderkey * 1237) % 1900000 + CASE WHEN l_linenumber >= 5 THEN (l_partkey % 9) * 150 + 400 + (l_suppkey % 5) * 200 ELSE 5000 + (l_suppkey % 9) * 170 END AS stop,
+          CASE l_suppkey % 4 WHEN 0 THEN 'SR' WHEN 1 THEN 'PE' WHEN 2 THEN 'PE,SR' ELSE 'RD' END AS evidence
+        FROM lineitem""",
     # evidence metrics, one row per candidate variant
     "fx_metrics": """
         SELECT concat('m', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING), '_', CAST(l_partkey AS STRING), '_', CAST(l_suppkey AS STRING), '_', CAST(CAST(l_quantity AS BIGINT) AS STRING)) AS name,
