@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import chisq1_p, two_proportion_chisq
+from ..session import cut_lineage
 
 
 def min_gq_curve(trio_rows: DataFrame, grid: list[int]) -> DataFrame:
@@ -138,22 +139,23 @@ def allele_dosage(genotypes: DataFrame) -> DataFrame:
 
 
 def dosage_components(dosage: DataFrame, k: int = 4) -> DataFrame:
-    """Principal components of the samples from their (cohort-sized) covariance.
+    """Principal components of the samples.
 
-    The sample x sample products are summed per variant in the cluster; only that matrix, whose
-    size depends on the cohort alone, is decomposed by MLlib.
+    One vector per variant over the (cohort-sized) sample list, centred, missing dosages at
+    the variant's mean. MLlib folds the vectors into the sample covariance with a tree
+    aggregation; only the cohort x k loadings come back.
     """
     from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
-    m = dosage.groupBy("vid").agg(F.avg("dosage").alias("_m"))
-    d = dosage.join(m, "vid").select("vid", "sample", (F.col("dosage") - F.col("_m")).alias("x"))
-    row = d.groupBy("vid").agg(F.collect_list(F.struct("sample", "x")).alias("r"))  # bounded by the cohort
-    prod = row.select(F.explode("r").alias("a"), "r").select("a", F.explode("r").alias("b"))
-    cov = prod.groupBy(F.col("a.sample").alias("sample"), F.col("b.sample").alias("other")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("v"))
-    vec = cov.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("other", "v"))), lambda s: s["v"]).alias("v")).withColumn("f", array_to_vector("v"))
-    model = PCA(k=k, inputCol="f", outputCol="pc").fit(vec)
-    return model.transform(vec).select("sample", F.posexplode(vector_to_array("pc")).alias("component", "value"))
+    spark = dosage.sparkSession
+    names = sorted(r["sample"] for r in dosage.select("sample").distinct().collect())  # cohort-sized
+    roll = F.array(*[F.lit(n) for n in names])
+    row = dosage.groupBy("vid").agg(F.map_from_entries(F.collect_list(F.struct("sample", "dosage"))).alias("m"), F.avg("dosage").alias("mu"))
+    x = F.transform(roll, lambda s: F.coalesce(F.try_element_at("m", s) - F.col("mu"), F.lit(0.0)))
+    pc = PCA(k=k, inputCol="x", outputCol="pc").fit(row.select(array_to_vector(x).alias("x"))).pc.toArray()
+    rows = [(n, c, float(pc[i, c])) for i, n in enumerate(names) for c in range(k)]
+    return spark.createDataFrame(rows, "sample string, component int, value double")
 
 
 def label_ancestry(components: DataFrame, training: DataFrame) -> DataFrame:
@@ -163,6 +165,7 @@ def label_ancestry(components: DataFrame, training: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     v = components.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "value"))), lambda s: s["value"]).alias("v")).withColumn("features", array_to_vector("v"))
+    v = cut_lineage(v)  # one row per sample, read by every fit
     tr = v.join(training.select("sample", "pop"), "sample")
     ix = StringIndexer(inputCol="pop", outputCol="label", stringOrderType="alphabetAsc").fit(tr)
     model = OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01)).fit(ix.transform(tr))
@@ -176,8 +179,6 @@ def prune_related(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
     Every round removes all samples that have more relatives than any of their relatives, which
     gives the greedy result for independent groups at once; pairs are bounded by the cohort.
     """
-    from ..session import cut_lineage
-
     e = cut_lineage(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     out = None
     for _ in range(max_rounds):
