@@ -16,13 +16,13 @@ from ..session import cut_lineage
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return both.where("v > u").join(m.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     d = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     m = d.groupBy("u").agg(F.min("v").alias("m"))
-    links = d.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    links = d.join(m.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return links.unionByName(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -34,18 +34,30 @@ def _is_star(e: DataFrame) -> bool:
     return many.unionByName(deep).limit(1).count() == 0
 
 
+def _encode(e: DataFrame):
+    """Replace node ids by order-preserving longs: nodes are range partitioned, sorted and numbered."""
+    n = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    nodes = cut_lineage(nodes.repartitionByRange(n, "node").sortWithinPartitions("node").withColumn("id", F.monotonically_increasing_id()))
+    a, b = nodes.select(F.col("node").alias("u"), F.col("id").alias("_u")), nodes.select(F.col("node").alias("v"), F.col("id").alias("_v"))
+    e = e.join(a.hint("merge"), "u").join(b.hint("merge"), "v").select(F.greatest("_u", "_v").alias("u"), F.least("_u", "_v").alias("v"))
+    return cut_lineage(e), nodes
+
+
 def connected_components(edges: DataFrame, src="u", dst="v", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node with an edge; the component is its smallest node."""
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e, nodes = _encode(e)
     for _ in range(max_rounds):
         if _is_star(e):
             break
         e = cut_lineage(_small_star(_large_star(e)))
     else:
         raise RuntimeError("connected components did not converge")
-    roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    roots = e.select(F.col("v").alias("u")).distinct().withColumn("v", F.col("u"))
+    label = nodes.select(F.col("id").alias("v"), F.col("node").alias("component"))
+    return e.unionByName(roots).join(nodes.withColumnRenamed("id", "u"), "u").join(label, "v").select("node", "component")
 
 
 def label_components(nodes: DataFrame, edges: DataFrame, key: str, src="u", dst="v", name="component") -> DataFrame:

@@ -51,6 +51,17 @@ def _keyed(df, start, stop, widths, owner_first: bool):
     return df.withColumn("_k", F.explode(F.concat(*keys))).select("*", "_k.lev", "_k.mode", "_k.bin").drop("_k")
 
 
+def _hashed(df, by, parts):
+    """One long join key over all key columns: cheap to shuffle and to sort. The columns
+    themselves are compared again in the residual, so a hash collision cannot join rows."""
+    return df.withColumn("_h", F.xxhash64(*by, *parts))
+
+
+def _really_equal(x: str, y: str) -> Column:
+    """Equality as a residual predicate (two inequalities do not become join keys)."""
+    return (F.col(x) <= F.col(y)) & (F.col(x) >= F.col(y))
+
+
 def overlap_join(
     left: DataFrame,
     right: DataFrame,
@@ -72,10 +83,12 @@ def overlap_join(
     b = right.select([F.col(c).alias(c + sb) for c in right.columns])
     a = a.withColumn("_s", F.col(start + sa) - pad).withColumn("_e", F.col(stop + sa) + pad)
     b = b.withColumn("_s", F.col(start + sb)).withColumn("_e", F.col(stop + sb))
-    a = _keyed(a, "_s", "_e", widths, True).alias("l")
-    b = _keyed(b, "_s", "_e", widths, False).alias("r")
-    cond = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("lev", "mode", "bin")]
-    cond += [F.col(c + sa) == F.col(c + sb) for c in by]
+    a = _hashed(_keyed(a, "_s", "_e", widths, True), [c + sa for c in by], ["lev", "mode", "bin"]).alias("l")
+    b = _hashed(_keyed(b, "_s", "_e", widths, False), [c + sb for c in by], ["lev", "mode", "bin"]).alias("r")
+    if left is right:  # its estimated size does not know about the exploded keys: never broadcast
+        b = b.hint("merge")
+    cond = [F.col("l._h") == F.col("r._h")] + [_really_equal(f"l.{c}", f"r.{c}") for c in ("lev", "mode", "bin")]
+    cond += [_really_equal(c + sa, c + sb) for c in by]
     cond += [F.col("l._s") < F.col("r._e"), F.col("r._s") < F.col("l._e")]
     width = F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("l.lev") + 1)
     cond += [F.col("l.bin") == F.floor(F.greatest(F.col("l._s"), F.col("r._s")) / width).cast("long")]
@@ -130,24 +143,22 @@ def reciprocal_join(left, right, frac: float, by=["chrom", "svtype"], condition=
     def width(k):  # twice the largest possible start distance in class k
         return F.greatest(F.ceil(2 * slack * F.pow(F.lit(base), k + 1)).cast("long"), F.lit(2).cast("long")) + 2
 
+    def width(k):  # twice the largest start distance of partners of a left interval in class k
+        return F.greatest(F.ceil(2 * slack * F.pow(F.lit(base), k + 2)).cast("long"), F.lit(2).cast("long")) + 2
+
     a, b = prep(left, sa), prep(right, sb)
-    ka = F.array(
-        F.struct(F.col("_cls").alias("cls"), F.lit(0).alias("mode")),
-        F.struct((F.col("_cls") + 1).alias("cls"), F.lit(1).alias("mode")),
-    )
-    kb = F.array(
-        F.struct(F.col("_cls").alias("cls"), F.lit(0).alias("mode")),
-        F.struct((F.col("_cls") + 1).alias("cls"), F.lit(0).alias("mode")),
-        F.struct(F.col("_cls").alias("cls"), F.lit(1).alias("mode")),
-    )
-    a = a.withColumn("_k", F.explode(ka)).withColumn("_bin", F.floor(F.col(start + sa) / width(F.col("_k.cls"))).cast("long")).alias("l")
-    b = b.withColumn("_k", F.explode(kb)).withColumn("_w", width(F.col("_k.cls")))
+    a = a.withColumn("_bin", F.floor(F.col(start + sa) / width(F.col("_cls"))).cast("long"))
+    # the right side visits the classes next to its own, in the one or two bins within reach
+    b = b.withColumn("_cls", F.explode(F.array(F.col("_cls") - 1, F.col("_cls"), F.col("_cls") + 1))).withColumn("_w", width(F.col("_cls")))
     half = F.ceil(F.col("_w") / 2).cast("long")
     lo = F.floor((F.col(start + sb) - half) / F.col("_w")).cast("long")
     hi = F.floor((F.col(start + sb) + half) / F.col("_w")).cast("long")
-    b = b.withColumn("_bin", F.explode(F.sequence(lo, hi))).alias("r")
-    cond = [F.col("l._bin") == F.col("r._bin"), F.col("l._k") == F.col("r._k")]
-    cond += [F.col(c + sa) == F.col(c + sb) for c in by]
+    b = b.withColumn("_bin", F.explode(F.sequence(lo, hi))).drop("_w")
+    a, b = _hashed(a, [c + sa for c in by], ["_cls", "_bin"]).alias("l"), _hashed(b, [c + sb for c in by], ["_cls", "_bin"]).alias("r")
+    # the exploded side's size is not what the optimizer estimates, so it is never broadcast
+    b = b.hint("merge")
+    cond = [F.col("l._h") == F.col("r._h"), _really_equal("l._bin", "r._bin"), _really_equal("l._cls", "r._cls")]
+    cond += [_really_equal(c + sa, c + sb) for c in by]
     cond.append(reciprocal_ok(F.col(start + sa), F.col(stop + sa), F.col(start + sb), F.col(stop + sb), frac))
     if condition is not None:
         cond.append(condition)

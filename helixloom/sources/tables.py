@@ -157,6 +157,15 @@ FIXTURES: dict[str, str] = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores (one small file, one row group) over all cores.
+
+    Large inputs have more splits than cores and are left alone, so nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Lazy access to raw and derived tables of one data folder."""
 
@@ -172,7 +181,7 @@ class Tables:
 
     def _load(self, name: str) -> DataFrame:
         if name in RAW:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
         return self.sql(FIXTURES[f"fx_{name}"])
 
     def sql(self, text: str) -> DataFrame:
