@@ -61,7 +61,7 @@ def connected_components(edges: DataFrame, src="u", dst="v", max_rounds: int = 6
     for _ in range(max_rounds):
         n = e.count()
         # the uniqueness test is a shuffle: only worth it once the edge set has stopped shrinking
-        if before is not None and n > 0.99 * before and _is_forest(e):
+        if n == 0 or (before is not None and n > 0.99 * before and _is_forest(e)):
             break
         before = n
         e = cut_lineage(_small_star(_large_star(e)))

@@ -50,6 +50,7 @@ def test_components_chain_hub_and_copies(spark):
     chain = [(f"a{i:03d}", f"a{i + 1:03d}") for i in range(60)]
     hub = [("hub", f"z{i}") for i in range(200)]
     e = spark.createDataFrame(chain + hub + hub + [("x", "x")], "u string, v string")
+    assert connected_components(e.where("u = 'nothing'")).count() == 0
     cc = {r["node"]: r["component"] for r in connected_components(e).collect()}
     assert len(cc) == 61 + 201
     assert {v for k, v in cc.items() if k.startswith("a")} == {"a000"}
