@@ -20,3 +20,31 @@ k AS (SELECT mu, CASE WHEN va > 0 AND mu * (1 - mu) > va THEN mu * (1 - mu) / va
 v AS (SELECT host, (nf + mu * s) / (nd + s) < 0.6 AS ok FROM h, k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept FROM f JOIN v USING (host)
 """
+
+ORACLES["op3_url_filter"] = r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u)
+SELECT page_id, host, path, r AS rule, CASE WHEN r IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM (SELECT *, CASE
+    WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS r FROM p)
+"""
+
+ORACLES["op1_spaced_seed_decontamination"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark),
+dt AS (SELECT r, doc_id, len(ws) AS nd, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM d),
+it AS (SELECT item_id, len(ws) AS n, least(len(ws), 20) AS win, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS j FROM b),
+m AS (SELECT r, doc_id, nd, item_id, n, win, p - j AS diag, list(j ORDER BY j) AS js FROM dt JOIN it USING (w)
+      GROUP BY ALL HAVING count(*) >= win - CASE WHEN win >= 10 THEN win // 5 ELSE 0 END),
+s AS (SELECT *, unnest(range(greatest(0, -diag), least(n, nd - diag) - win + 1)) AS a FROM m),
+ok AS (SELECT r, doc_id, item_id, diag, js, min(a) AS a0, max(a) + win AS a1 FROM
+       (SELECT *, len(list_filter(js, lambda x: x >= a AND x < a + win)) AS c FROM s) WHERE c >= win - CASE WHEN win >= 10 THEN win // 5 ELSE 0 END
+       GROUP BY r, doc_id, item_id, diag, js, win),
+o AS (SELECT r, doc_id, item_id, (diag + a0)::INTEGER AS first, (diag + a1 - 1)::INTEGER AS last, len(list_filter(js, lambda x: x >= a0 AND x < a1))::INTEGER AS agree, a0::INTEGER AS item_first FROM ok)
+SELECT doc_id, item_id, first, last, agree, item_first FROM o
+QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY agree DESC, first, item_first) = 1
+"""

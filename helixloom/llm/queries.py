@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import bpe, decontam, quality, simhash, toxicity, urls
 from .common import read
 from .oracles import ORACLES as ORACLES
 
@@ -19,12 +19,34 @@ def query(fn):
     return fn
 
 
+@query
+def op1_spaced_seed_decontamination(spark, sf_dir):
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op2_pivot_simhash(spark, sf_dir):
     d = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return d.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op3_url_filter(spark, sf_dir):
+    return urls.judge_urls(read(spark, sf_dir, "pages"), urls.rule_table(spark))
+
+
+@query
+def op5_bpe_chunks(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), bpe.DIGESTS)
+
+
+@query
+def op8_weak_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op9_host_quality(spark, sf_dir):
     return quality.judge(read(spark, sf_dir, "documents"), keep=["doc_id"])
