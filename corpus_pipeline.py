@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from helixloom.llm import quality, simhash
+from helixloom.llm import bpe, decontam, quality, simhash, toxicity
 from helixloom.llm.common import read, write_table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+# the label model and the logistic regression can't be stated in SQL
 ORACLE_SQL = None
 
 
@@ -14,11 +17,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_stage(docs)
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_stage(docs, read(spark, sf_dir, "labels"))
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.dedup_stage(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", simhash_near_dedup)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontam_stage(docs, read(spark, sf_dir, "benchmark"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the decoded text."""
+    return bpe.encode_documents(docs, TOKENIZER, bpe.DIGESTS)
+
+
+STAGES = [
+    ("quality_rules", quality_rules), ("toxicity", toxic_documents), ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination), ("bpe_encoding", bpe_encoding),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
