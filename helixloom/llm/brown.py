@@ -31,7 +31,7 @@ CLASSES = 64
 ROUNDS = 8
 SMOOTH = 2.0
 FLUSH = 1 << 19
-OWN = struct.Struct("<qbqqdd")  # doc_id, flags, tokens, known, base, score of what the text needs no join for
+OWN = "<qbqqdd"  # doc_id, flags, tokens, known, base, score of what the text needs no join for
 END = 0  # number of the text's end, and of what stands before its first word
 
 
@@ -281,7 +281,7 @@ def _score_texts(m_number, classes, counts, logs, sizes, denominator):
                 plain = np.bincount(text[f], base[w], n)
                 seen = np.bincount(text[f], known[w], n)
                 total = np.bincount(text, minlength=n)
-                own = [OWN.pack(ids_col[first + i] or 0, (ids_col[first + i] is None) + 2 * held[first + i], int(total[i]), int(seen[i]), plain[i], score[i]) for i in range(n)]
+                own = [struct.pack(OWN, ids_col[first + i] or 0, (ids_col[first + i] is None) + 2 * held[first + i], int(total[i]), int(seen[i]), plain[i], score[i]) for i in range(n)]
                 rare = np.flatnonzero(ids < 0)
                 names = [b"\x20" + (row + i).to_bytes(8, "big") for i in range(n)]  # words have no space
                 yield pa.RecordBatch.from_arrays([
@@ -294,7 +294,7 @@ def _score_texts(m_number, classes, counts, logs, sizes, denominator):
 
 def _unpack(frames):
     for f in frames:
-        own = np.array([OWN.unpack(x) for x in f["own"]], dtype=object).reshape(-1, 6)
+        own = np.array([struct.unpack(OWN, x) for x in f["own"]], dtype=object).reshape(-1, 6)
         yield pd.DataFrame({
             "doc_id": pd.array([None if x[1] & 1 else x[0] for x in own], "Int64"), "held_out": [bool(x[1] & 2) for x in own], "n_tokens": own[:, 2].astype("int64"),
             "n_known": own[:, 3].astype("int64") + f["known"].to_numpy("int64"), "base_score": own[:, 4].astype(float) + f["base"], "score": own[:, 5].astype(float) + f["score"]})

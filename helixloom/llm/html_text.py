@@ -88,7 +88,7 @@ class Page:
             m = TAG.search(s, at)
             if m is None:
                 rest = s[at:]
-                say(re.sub(r"<[a-zA-Z/!][^<>]*\Z", "", rest))  # a tag that the page's end has cut
+                say(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", rest))  # a tag that the page's end has cut
                 break
             say(s[at:m.start()])
             at = m.end()

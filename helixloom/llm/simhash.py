@@ -147,6 +147,13 @@ def _meeting_links(keyed: DataFrame, masks: list[int]) -> DataFrame:
     return met.join(least, ["s", "z"]).where("u < x").select("u", F.col("x").alias("v")).distinct()
 
 
+def _classes(rows: DataFrame, **kw) -> DataFrame:
+    """(fp, c): the component of each fingerprint of ``rows``, named by one of its fingerprints."""
+    classes = rows.select("fp").distinct()
+    cc = connected_components(near_links(classes, **kw)).withColumnsRenamed({"node": "fp", "component": "c"})
+    return classes.join(cc, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """(doc_id, fp, component_id) for every row; the component is the smallest id reachable over links.
 
@@ -154,9 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     never become a component's name (a component of null ids only has a null one).
     """
     rows = cut_lineage(docs.select(F.col(f"`{id_col}`").alias("doc_id"), fingerprint_udf(F.col(f"`{text}`")).alias("fp")))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    cc = connected_components(near_links(classes, **kw)).withColumnsRenamed({"node": "fp", "component": "c"})
-    named = classes.join(cc, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+    named = _classes(rows, **kw).join(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fp")
     names = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
     labels = named.select("fp", "c").join(names, "c").select("fp", "component_id")
     return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
@@ -166,11 +171,15 @@ def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def dedup_stage(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, the one with the smallest id (one row of it where it is repeated), with its columns.
-    Rows without an id can't be told apart: one stays if its component has no other row."""
-    marked = near_duplicates(docs)
-    keep = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+def dedup_stage(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+    """One document of each component stays, with its columns: the one with the smallest id, then with the smallest digest of its text;
+    one row of it if it is repeated. A row without an id stays only in a component without ids."""
     named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
     at = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    return named.join(keep, F.col(at["doc_id"]).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([at["doc_id"]]).select(*[F.col(v).alias(c) for c, v in at.items()])
+    digest = F.md5(F.coalesce(F.col(at[text]), F.lit("")))
+    rows = cut_lineage(named.select(F.col(at[id_col]).alias("doc_id"), digest.alias("key"), fingerprint_udf(F.col(at[text])).alias("fp")))
+    firsts = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("r"))
+    keep = _classes(rows, **kw).join(firsts, "fp").groupBy("c").agg(F.min("r").alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_key"))
+    same = (digest == F.col("_key")) & F.col(at[id_col]).eqNullSafe(F.col("_id"))
+    left = named.join(keep, same, "left_semi").withColumn("_k", digest).dropDuplicates([at[id_col], "_k"])
+    return left.select(*[F.col(v).alias(c) for c, v in at.items()])
