@@ -152,11 +152,11 @@ def force_by_cutoffs(d: DataFrame, cutoffs: dict[str, float], prob: str) -> Data
     return d.withColumn(prob, F.when((p >= 0.5) & below, 0.499).when((p < 0.5) & above, 0.501).otherwise(p))
 
 
-def train_and_score(testable: DataFrame, features: list[str], label: str, trees: int = 500, max_rows: int = 100_000, seed: int = 343124, prob: str = "prob", depth: int = 8, key: str = "name") -> DataFrame:
-    """Random forest on labelled rows, balanced by hash order up to ``max_rows``, scored over all rows.
+def train_and_score(testable: DataFrame, features: list[str], label: str, trees: int = 500, max_rows: int = 100_000, seed: int = 343124, prob: str = "prob", depth: int = 30, key: str = "name") -> DataFrame:
+    """Random forest on all labelled rows, or on a draw of about ``max_rows`` if there are more, scored over all rows.
 
-    The balanced draw takes the smallest hashes per class through a threshold on the hash
-    range, so that no class is ordered or collected in one task.
+    The draw takes the smallest hashes through a threshold on the hash range, so that nothing
+    is ordered or collected in one task. Every split may use every feature.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
@@ -168,12 +168,11 @@ def train_and_score(testable: DataFrame, features: list[str], label: str, trees:
     sizes = {r["_y"]: r["n"] for r in lab.groupBy("_y").agg(F.count("*").alias("n")).collect()}  # two rows
     if len(sizes) < 2:
         raise ValueError("training needs both Pass and Fail rows")
-    take = min(min(sizes.values()), max_rows // 2)
     u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    frac = F.when(F.col("_y") == 1.0, take / sizes[1.0]).otherwise(take / sizes[0.0])
+    frac = F.lit(min(1.0, max_rows / sum(sizes.values())))
     model = Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="_x"),
-        RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_d"),
+        RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_d"),
     ]).fit(lab.where(u <= frac))
     return model.transform(d).withColumn(prob, vector_to_array("_p")[1]).drop("_x", "_p", "_r", "_d")
 

@@ -173,7 +173,7 @@ def label_ancestry(components: DataFrame, training: DataFrame) -> DataFrame:
     return model.transform(v).select("sample", F.element_at(names, F.col("prediction").cast("int") + 1).alias("ancestry"))
 
 
-def prune_related(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def prune_related(pairs: DataFrame) -> DataFrame:
     """Samples to drop so that no related pair is left: the one with most relatives goes first (ties by id).
 
     Every round removes all samples that have more relatives than any of their relatives, which
@@ -181,9 +181,7 @@ def prune_related(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """
     e = cut_lineage(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     out = None
-    for _ in range(max_rounds):
-        if e.isEmpty():
-            break
+    while not e.isEmpty():
         deg = e.groupBy("a").agg(F.count("*").alias("d"))
         key = lambda c: F.struct(F.col("d"), F.col(c))
         da = deg.select("a", key("a").alias("ka"))

@@ -52,21 +52,19 @@ def _encode(e: DataFrame):
     return cut_lineage(e), nodes
 
 
-def connected_components(edges: DataFrame, src="u", dst="v", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src="u", dst="v") -> DataFrame:
     """(node, component) for every node with an edge; the component is its smallest node."""
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     e, nodes = _encode(e)
     before = None
-    for _ in range(max_rounds):
+    while True:
         n = e.count()
         # the uniqueness test is a shuffle: only worth it once the edge set has stopped shrinking
         if n == 0 or (before is not None and n > 0.99 * before and _is_forest(e)):
             break
         before = n
         e = cut_lineage(_small_star(_large_star(e)))
-    else:
-        raise RuntimeError("connected components did not converge")
     e = _jump_to_roots(e)
     roots = e.select(F.col("v").alias("u")).distinct().withColumn("v", F.col("u"))
     label = nodes.select(F.col("id").alias("v"), F.col("node").alias("component"))

@@ -131,8 +131,9 @@ def reciprocal_join(left, right, frac: float, by=["chrom", "svtype"], condition=
     if not 0 < frac <= 1:
         raise ValueError("frac must be in (0, 1]; use overlap_join for any overlap")
     sa, sb = suffixes
-    base = (1.0 / max(min(frac, 0.95), 0.05)) * (1 + 1e-9)
-    slack = 1.0 - max(min(frac, 0.95), 0.05)
+    f = min(frac, 0.95)  # above it the classes would be needlessly narrow
+    base = (1.0 / f) * (1 + 1e-9)
+    slack = 1.0 - f
 
     def prep(df, sfx):
         d = df.select([F.col(c).alias(c + sfx) for c in df.columns])
@@ -140,11 +141,9 @@ def reciprocal_join(left, right, frac: float, by=["chrom", "svtype"], condition=
         length = (F.col(stop + sfx) - F.col(start + sfx)).cast("double")
         return d.withColumn("_cls", F.floor(F.log(length) / F.log(F.lit(base))).cast("int"))
 
-    def width(k):  # twice the largest possible start distance in class k
-        return F.greatest(F.ceil(2 * slack * F.pow(F.lit(base), k + 1)).cast("long"), F.lit(2).cast("long")) + 2
-
     def width(k):  # twice the largest start distance of partners of a left interval in class k
-        return F.greatest(F.ceil(2 * slack * F.pow(F.lit(base), k + 2)).cast("long"), F.lit(2).cast("long")) + 2
+        reach = F.least(2 * slack * F.pow(F.lit(base), k + 2), F.lit(float(1 << 40)))  # no contig is longer
+        return F.greatest(F.ceil(reach).cast("long"), F.lit(2).cast("long")) + 2
 
     a, b = prep(left, sa), prep(right, sb)
     a = a.withColumn("_bin", F.floor(F.col(start + sa) / width(F.col("_cls"))).cast("long"))

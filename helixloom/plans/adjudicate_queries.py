@@ -44,7 +44,7 @@ def _(t):
       SELECT s.vid, chrom, s.svtype, svsize, round(coalesce(n, 0) / 40, 6) AS vf, CASE WHEN t IS NULL THEN false ELSE coalesce(a, true) END AS is_outlier_specific FROM s LEFT JOIN v USING (vid) LEFT JOIN q ON q.svtype = s.svtype""",
 )
 def _(t):
-    return ad.variant_metadata(t.sites, t.carriers, 40).withColumn("vf", r6("vf"))
+    return ad.variant_metadata(t.sites, t.carriers, t.samples.count()).withColumn("vf", r6("vf"))
 
 
 @query(

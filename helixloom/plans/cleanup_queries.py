@@ -46,7 +46,23 @@ def _(t):
     return cu.multi_cnv_list(t.sites, t.genotypes)
 
 
-@query("copy_number_revision_list")
+@query(
+    "copy_number_revision_list",
+    """WITH RECURSIVE mc AS (SELECT DISTINCT vid FROM fx_genotypes JOIN fx_sites USING (vid) WHERE svtype IN ('DEL', 'DUP') AND stop - pos + 1 >= 1000 AND ((svtype = 'DEL' AND rd_cn > 3) OR (svtype = 'DUP' AND (rd_cn < 1 OR rd_cn > 4)))),
+      c AS (SELECT g.vid, sample, chrom, svtype, least(pos, stop) - 1 AS s, greatest(pos, stop) AS e, rd_cn AS cn, (ev & 1) > 0 AS d, (ev & 6) > 0 AS x, coalesce(a1, 0) > 0 OR coalesce(a2, 0) > 0 AS called, g.vid IN (SELECT vid FROM mc) AS multi
+        FROM fx_genotypes g JOIN fx_sites USING (vid) WHERE svtype IN ('DEL', 'DUP') AND abs(stop - pos) >= 1000 AND CASE WHEN svtype = 'DEL' THEN rd_cn < 2 ELSE rd_cn > 2 END),
+      p0 AS (SELECT a.sample, a.vid AS a, b.vid AS b, a.e - a.s AS la, b.e - b.s AS lb, a.s AS sa, b.s AS sb, a.cn AS ca0, b.cn AS cb0,
+          CASE WHEN a.d AND a.x AND b.d AND NOT b.x AND NOT a.multi THEN 1 WHEN a.d AND NOT a.x AND b.d AND b.x AND NOT b.multi AND b.called AND least(a.e, b.e) - greatest(a.s, b.s) > 0.5 * (a.e - a.s) THEN 2
+               WHEN a.d AND NOT a.x AND b.d AND NOT b.x AND a.svtype = b.svtype AND NOT a.multi THEN 3 WHEN a.d AND b.e - b.s > 5000 AND NOT a.multi THEN 1 END AS rule
+        FROM c a JOIN c b ON a.sample = b.sample AND a.chrom = b.chrom AND a.vid <> b.vid AND a.s < b.e AND b.s < a.e WHERE a.called AND (NOT b.called OR a.e - a.s >= b.e - b.s) AND least(a.e, b.e) - greatest(a.s, b.s) > 0.5 * (b.e - b.s)),
+      p AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY la DESC, lb DESC, sa, a, sb, b) AS i FROM p0 WHERE rule IS NOT NULL),
+      z AS (SELECT DISTINCT sample, 0::BIGINT AS i, MAP {}::MAP(VARCHAR, BIGINT) AS m, []::VARCHAR[] AS nm FROM p
+        UNION ALL SELECT sample, i, CASE WHEN act THEN map_concat(m, MAP {t: v}) ELSE m END, CASE WHEN act AND v = 2 THEN list_append(nm, t) ELSE nm END FROM
+          (SELECT *, CASE WHEN rule = 2 THEN greatest(ca + 2 - cb, 0) WHEN rule = 3 AND NOT ((ca = 0 AND cb <> 0) OR (ca = 1 AND cb = 0) OR (ca > 1 AND cb > ca)) THEN 2 ELSE greatest(cb + 2 - ca, 0) END AS v FROM
+            (SELECT z.sample, p.i, m, nm, rule, CASE WHEN rule = 2 THEN a ELSE b END AS t, NOT list_contains(nm, a) AS act, coalesce(m[a], ca0)::BIGINT AS ca, coalesce(m[b], cb0)::BIGINT AS cb FROM z JOIN p ON p.sample = z.sample AND p.i = z.i + 1))),
+      f AS (SELECT sample, m FROM z QUALIFY row_number() OVER (PARTITION BY sample ORDER BY i DESC) = 1)
+      SELECT u.key AS vid, sample, u.value::INTEGER AS rd_cn FROM (SELECT sample, unnest(map_entries(m)) AS u FROM f)""",
+)
 def _(t):
     return cu.copy_number_revisions(t.sites, t.genotypes, cu.multi_cnv_list(t.sites, t.genotypes), min_size=1000)
 
@@ -67,7 +83,7 @@ def _(t):
       SELECT vid, count(*) AS n_over FROM b WHERE gt > 2 GROUP BY vid HAVING count(*) > 2""",
 )
 def _(t):
-    return cu.overdispersed_genotypes(t.genotypes, 40)
+    return cu.overdispersed_genotypes(t.genotypes, t.samples.count())
 
 
 _MULTI = """s AS (SELECT vid, svtype, abs(stop - pos) AS l FROM fx_sites WHERE svtype IN ('DEL', 'DUP')),
@@ -77,7 +93,7 @@ _MULTI = """s AS (SELECT vid, svtype, abs(stop - pos) AS l FROM fx_sites WHERE s
 
 @query("multiallelic_sites", f"WITH {_MULTI} SELECT vid, multiallelic, regenotyped FROM f")
 def _(t):
-    return cu.resolve_multiallelics(t.sites, t.genotypes, 40)[0]
+    return cu.resolve_multiallelics(t.sites, t.genotypes, t.samples.count())[0]
 
 
 @query(
@@ -87,7 +103,7 @@ def _(t):
         CASE WHEN NOT m THEN gq END AS gq, CASE WHEN m THEN rd_cn END AS cn, CASE WHEN m THEN rd_gq END AS cnq FROM g""",
 )
 def _(t):
-    return cu.resolve_multiallelics(t.sites, t.genotypes, 40)[1]
+    return cu.resolve_multiallelics(t.sites, t.genotypes, t.samples.count())[1]
 
 
 @query(

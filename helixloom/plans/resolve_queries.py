@@ -273,12 +273,25 @@ def _(t):
     return mg.merge_breakpoint_and_depth(t.sites, t.genotypes, t.carriers, 0.2, 0.3)[0].select("vid", "svtype", "members", "salvaged")
 
 
-@query("merge_breakpoint_and_depth_genotypes")
+@query(
+    "merge_breakpoint_and_depth_genotypes",
+    f"""WITH {_CV}, p0 AS (SELECT a.vid AS a, b.vid AS b FROM cv a JOIN cv b ON a.chrom = b.chrom AND a.svtype = b.svtype AND a.algorithms <> 'depth' AND b.algorithms = 'depth' AND a.svlen >= 1000 AND b.svlen >= 1000 AND {_ro(0.2)}), {_K},
+      nb AS (SELECT a, b, count(*) AS nb FROM p0 JOIN fx_carriers x ON x.vid = a JOIN fx_carriers y ON y.vid = b AND y.sample = x.sample GROUP BY a, b), l AS (SELECT a, b FROM nb JOIN k ka ON ka.vid = a JOIN k kb ON kb.vid = b WHERE nb >= 0.3 * ka.nc AND nb >= 0.3 * kb.nc),
+      g AS (SELECT vid, sample, a1, a2, gq, vid AS src FROM fx_genotypes WHERE vid NOT IN (SELECT b FROM l) UNION ALL SELECT l.a, sample, a1, a2, gq, vid FROM fx_genotypes JOIN l ON l.b = vid)
+      SELECT vid, sample, a1, a2, gq, src FROM g QUALIFY row_number() OVER (PARTITION BY vid, sample ORDER BY CASE WHEN coalesce(a1, 0) > 0 OR coalesce(a2, 0) > 0 THEN 1 ELSE 0 END DESC, coalesce(gq, -1) DESC, src DESC) = 1""",
+)
 def _(t):
     return mg.merge_breakpoint_and_depth(t.sites, t.genotypes, t.carriers, 0.2, 0.3)[1]
 
 
-@query("stitch_fragmented_cnvs")
+@query(
+    "stitch_fragmented_cnvs",
+    """WITH g AS (SELECT name AS vid, string_agg(sample, ',' ORDER BY sample) AS alike FROM fx_calls GROUP BY name),
+      d AS (SELECT name AS vid, chrom, svtype, start AS pos, stop + 1 AS e, alike, least(2000, floor((stop + 1 - start) * 0.2)) AS pad, floor((stop + 1 - start) * 0.2) AS slack FROM fx_calls c JOIN g ON g.vid = c.name WHERE svtype IN ('DEL', 'DUP')),
+      l AS (SELECT *, lag(e) OVER w AS be, lag(pad) OVER w AS bp, lag(slack) OVER w AS bs FROM d WINDOW w AS (PARTITION BY chrom, svtype, alike ORDER BY pos, e, vid)),
+      r AS (SELECT *, count(*) FILTER (NOT coalesce(pos - be < pad + bp AND least(be, e) - pos <= least(slack, bs), false)) OVER (PARTITION BY chrom, svtype, alike ORDER BY pos, e, vid) AS run FROM l)
+      SELECT arg_min(vid, (pos, e, vid)) AS vid, chrom, svtype, min(pos) AS pos, max(e) - 1 AS stop, string_agg(vid, ',' ORDER BY pos, e, vid) AS members FROM r GROUP BY chrom, svtype, alike, run""",
+)
 def _(t):
     s = t.calls.where("svtype IN ('DEL', 'DUP')").select(F.col("name").alias("vid"), "chrom", "svtype", F.col("start").alias("pos"), "stop", F.lit("RD").alias("evidence"), F.lit("PASS").alias("filter"))
     g = t.calls.select(F.col("name").alias("vid"), "sample", F.lit(0).alias("a1"), F.lit(1).alias("a2"))

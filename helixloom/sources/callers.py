@@ -94,6 +94,11 @@ def _manta(d: DataFrame) -> DataFrame:
     return d.withColumn("vid", F.regexp_replace("vid", ":", "_")).withColumn("alt", F.concat(F.lit("<"), F.col("svtype"), F.lit(">")))
 
 
+def _letters(i) -> Column:
+    """a to z for the first 26 entries, then the number after a z."""
+    return F.when(i < 26, F.char(i + 97)).otherwise(F.concat(F.lit("z"), i.cast("string")))
+
+
 def _lumpy_like(d: DataFrame) -> DataFrame:
     d = d.select("*", F.posexplode("strand_list").alias("_i", "_s"))
     mc, mp, _ = parse_mate("alt")
@@ -104,7 +109,7 @@ def _lumpy_like(d: DataFrame) -> DataFrame:
     d = d.withColumn("svtype", F.when(cis, F.when(F.col("strands") == "+-", "DEL").when(F.col("strands") == "-+", "DUP").otherwise("INV")).otherwise(F.col("svtype")))
     sv, st = F.col("svtype"), F.col("strands")
     ok = ~((sv == "DEL") & (st != "+-")) & ~((sv == "DUP") & (st != "-+")) & ~((sv == "INV") & ~st.isin("++", "--"))
-    d = d.where(ok).withColumn("vid", F.concat("vid", F.substring(F.lit("abcd"), F.col("_i") + 1, F.lit(1))))
+    d = d.where(ok).withColumn("vid", F.concat("vid", _letters(F.col("_i"))))
     return d.withColumn("alt", F.concat(F.lit("<"), F.col("svtype"), F.lit(">"))).drop("_i", "_s")
 
 

@@ -82,10 +82,10 @@ def merge_headers(*headers: list[str]) -> list[str]:
     return meta + header_lines(names)[-1:]
 
 
-def write_vcf(lines: DataFrame, path: str, header: list[str], partitions: int = 200) -> None:
+def write_vcf(lines: DataFrame, path: str, header: list[str]) -> None:
     """Record lines as text parts sorted by (contig, position), header in its own file."""
     spark = lines.sparkSession
-    out = lines.repartitionByRange(partitions, "chrom", "pos").sortWithinPartitions("pos")
+    out = lines.repartitionByRange("chrom", "pos").sortWithinPartitions("pos")
     out.select("chrom", "value").write.mode("overwrite").partitionBy("chrom").text(f"{path}/records")
     spark.createDataFrame([(h,) for h in header], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
 
