@@ -60,6 +60,16 @@ def _(t):
     return p.select("name_a", "name_b", (F.least("stop_a", "stop_b") - F.greatest("start_a", "start_b")).alias("overlap"))
 
 
+@query(
+    "reciprocal_overlap_join_small_fraction",
+    """SELECT c.name, r.start AS region, least(c.stop, r.stop) - greatest(c.start, r.start) AS overlap FROM fx_calls c JOIN fx_regions r ON c.chrom = r.chrom AND c.start < r.stop AND r.start < c.stop
+        AND least(c.stop, r.stop) - greatest(c.start, r.start) >= 0.01 * (c.stop - c.start) AND least(c.stop, r.stop) - greatest(c.start, r.start) >= 0.01 * (r.stop - r.start)""",
+)
+def _(t):
+    p = iv.reciprocal_join(t.calls.select("chrom", "start", "stop", "name"), t.regions, 0.01, by=["chrom"])
+    return p.select(F.col("name_a").alias("name"), F.col("start_b").alias("region"), (F.least("stop_a", "stop_b") - F.greatest("start_a", "start_b")).alias("overlap"))
+
+
 _MERGE = """WITH s AS (SELECT *, max(stop) OVER (PARTITION BY chrom, svtype ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fx_calls),
      g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, svtype ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM s)
      SELECT chrom, svtype, min(start) AS start, max(stop) AS stop, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT sample) AS BIGINT) AS n_samples FROM g GROUP BY chrom, svtype, island"""

@@ -30,7 +30,7 @@ def test_reciprocal_join_matches_brute_force(spark):
     rnd = random.Random(2)
     rows = [("c", s := rnd.randrange(3000), s + rnd.randrange(0, 900), f"n{i}") for i in range(300)]
     df = spark.createDataFrame(rows, IV).withColumn("svtype", F.lit("DEL"))
-    for f in (0.1, 0.5, 0.8, 1.0):
+    for f in (0.005, 0.01, 0.02, 0.04, 0.1, 0.5, 0.8, 1.0):
         got = sorted((r[0], r[1]) for r in iv.reciprocal_join(df, df, f).select("name_a", "name_b").collect())
         want = sorted(
             (a[3], b[3]) for a in rows for b in rows
@@ -139,3 +139,86 @@ def test_statistics(spark):
     z = spark.createDataFrame([(-3.0,), (0.0,), (1.5,)], "z double")
     for r in z.select("z", norm_cdf(F.col("z")).alias("p")).collect():
         assert abs(r["p"] - 0.5 * math.erfc(-r["z"] / 2**0.5)) < 1e-6
+
+
+def _stitched(spark, rows, **kw):
+    """rows: (vid, pos, stop, svtype, evidence, filter, genotypes)"""
+    s = spark.createDataFrame([(v, "chr1", t, p, e, ev, fl) for v, p, e, t, ev, fl, _ in rows], "vid string, chrom string, svtype string, pos long, stop long, evidence string, filter string")
+    g = spark.createDataFrame([(v, f"s{i}", *x) for v, *_, gt in rows for i, x in enumerate(gt)], "vid string, sample string, a1 int, a2 int")
+    return sorted((r["vid"], r["pos"], r["stop"], r["members"]) for r in mg.stitch_fragments(s, g, **kw).collect())
+
+
+def test_stitching_rules(spark):
+    gt, other = [(0, 0), (0, 1)], [(0, 1), (0, 1)]
+    up = ("u", 1000, 1999, "DEL", "RD", "PASS", gt)
+    down = lambda pos=2399, stop=3399, t="DEL", ev="RD", fl="PASS", g=gt: ("v", pos, stop, t, ev, fl, g)
+    joined = [("u", 1000, 3399, "u,v")]
+    assert _stitched(spark, [up, down()]) == joined and _stitched(spark, [up, down(ev="BAF")]) == joined
+    apart = [down(pos=2400), down(t="DUP"), down(pos=1799), down(pos=1899, stop=2399), down(g=other), down(g=[(0, 0), (None, 1)])]
+    for d in apart:  # padded spans only touch, types, too much overlap of either, genotypes
+        assert len(_stitched(spark, [up, d])) == 2
+    for d in [down(ev="PE"), down(ev="BAF,SR"), down(fl="X,MULTIALLELIC,Y"), down(t="INS"), down(stop=2000)]:  # no candidates
+        assert [x[0] for x in _stitched(spark, [up, d])] == ["u"]
+    chain = [(f"c{i}", 1000 + 1300 * i, 1999 + 1300 * i, "DEL", "RD", "PASS", gt) for i in range(6)]
+    assert _stitched(spark, chain) == [("c0", 1000, 8499, "c0,c1,c2,c3,c4,c5")]
+
+
+def test_copy_number_revisions_match_an_ordered_pass(spark):
+    rnd = random.Random(11)
+    sites, genos = [], []
+    for i in range(60):
+        a = rnd.randrange(1, 900_000)
+        sites.append((f"v{i:02d}", "chr1", rnd.choice(["DEL", "DUP"]), a, a + rnd.choice([6000, 9000, 20_000, 50_000])))
+        for s in ("s1", "s2", "s3"):
+            genos.append((f"v{i:02d}", s, 0, rnd.choice([0, 1, 1]), rnd.choice([0, 1, 1, 3, 4, 5]), rnd.choice([1, 1, 3, 5, 7, 2])))
+    multi = {f"v{i:02d}" for i in range(0, 60, 9)}
+    sd = spark.createDataFrame(sites, "vid string, chrom string, svtype string, pos long, stop long")
+    gd = spark.createDataFrame(genos, "vid string, sample string, a1 int, a2 int, rd_cn int, ev int")
+    got = {(r["vid"], r["sample"]): r["rd_cn"] for r in cu.copy_number_revisions(sd, gd, spark.createDataFrame([(m,) for m in multi], "vid string")).collect()}
+    at = {v: (t, p - 1, e) for v, _, t, p, e in sites}
+    want = {}
+    for s in ("s1", "s2", "s3"):
+        own = {v: (cn, ev, a2 > 0) for v, x, _, a2, cn, ev in genos if x == s and (cn < 2 if at[v][0] == "DEL" else cn > 2)}
+        pairs = []
+        for a in own:
+            for b in own:
+                (ta, sa, ea), (tb, sb, eb) = at[a], at[b]
+                if a != b and own[a][2] and sa < eb and sb < ea and (not own[b][2] or ea - sa >= eb - sb):
+                    pairs.append((-(ea - sa), -(eb - sb), sa, a, sb, b, min(ea, eb) - max(sa, sb)))
+        cn, normal, new = {v: x[0] for v, x in own.items()}, set(), {}
+        for la, lb, _, a, _, b, shared in sorted(pairs):
+            if a in normal or not shared > 0.5 * -lb:
+                continue
+            (da, ma), (db, mb) = ((own[x][1] & 1 > 0, own[x][1] & 6 > 0) for x in (a, b))
+            hit = None
+            if da and ma and db and not mb and a not in multi:
+                hit = (b, cn[b] + 2 - cn[a])
+            elif da and not ma and db and mb and b not in multi and own[b][2] and shared > 0.5 * -la:
+                hit = (a, cn[a] + 2 - cn[b])
+            elif da and not ma and db and not mb and at[a][0] == at[b][0] and a not in multi:
+                more = cn[a] == 0 and cn[b] != 0 or cn[a] == 1 and cn[b] == 0 or 1 < cn[a] < cn[b]
+                hit = (b, cn[b] + 2 - cn[a] if more else 2)
+            elif da and -lb > 5000 and a not in multi:
+                hit = (b, cn[b] + 2 - cn[a])
+            if hit:
+                new[hit[0]] = cn[hit[0]] = max(hit[1], 0)
+                normal |= {hit[0]} if cn[hit[0]] == 2 else set()
+        want |= {(v, s): c for v, c in new.items()}
+    assert len(want) > 10 and got == want
+
+
+def test_related_samples_are_pruned_to_the_end(spark):
+    from helixloom.operators import batch as bt
+
+    rnd = random.Random(12)
+    pairs = {(f"p{i:03d}", f"p{i + 1:03d}") for i in range(30)} | {tuple(sorted(rnd.sample([f"q{i}" for i in range(25)], 2))) for _ in range(60)}
+    left, want = set(pairs), set()
+    while left:
+        deg = {}
+        for a, b in left:
+            deg[a], deg[b] = deg.get(a, 0) + 1, deg.get(b, 0) + 1
+        worst = max(deg, key=lambda x: (deg[x], x))
+        want.add(worst)
+        left = {p for p in left if worst not in p}
+    got = {r["sample"] for r in bt.prune_related(spark.createDataFrame(sorted(pairs), "a string, b string")).collect()}
+    assert got == want
