@@ -10,22 +10,27 @@ CORE_INFO = {"SVTYPE": "svtype", "CHR2": "chr2", "STRANDS": "strands", "ALGORITH
 
 
 def read_vcf(spark: SparkSession, path: str):
-    """(sites, genotypes) of one or many VCF files, plain or gzipped."""
-    return parse_vcf_lines(spark.read.text(path))
+    """(sites, genotypes) of one or many VCF files of one cohort, plain or gzipped, or of a folder that ``write_vcf`` made."""
+    return parse_vcf_lines(spark.read.option("recursiveFileLookup", "true").text(path).select("value"))
 
 
-def sample_names(lines: DataFrame) -> list[str]:
-    """Sample columns of the header line (one line, read on the driver)."""
-    head = lines.where(F.col("value").startswith("#CHROM")).first()
-    return head["value"].split("\t")[9:] if head else []
+def sample_names(lines: DataFrame) -> DataFrame:
+    """(_i, sample): the sample columns of the header line, numbered from 0."""
+    columns = F.split("value", "\t")
+    head = lines.where(F.col("value").startswith("#CHROM")).select(F.posexplode(F.slice(columns, 10, F.greatest(F.size(columns) - 9, F.lit(0)))).alias("_i", "sample"))
+    return head.groupBy("_i").agg(F.min("sample").alias("sample"))  # the files of a cohort repeat their header
+
+
+def _numbered(spark: SparkSession, samples: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(samples)), "_i int, sample string")
 
 
 def parse_vcf_lines(lines: DataFrame, samples: list[str] | None = None):
     """Split record lines into a sites table and a long genotype table.
 
-    The genotype table is a separate projection, so a sites-only query never explodes it.
+    The genotype table is a separate projection, so a sites-only query never explodes it. Sample names join by their column's number.
     """
-    names = sample_names(lines) if samples is None else samples
+    names = sample_names(lines) if samples is None else _numbered(lines.sparkSession, samples)
     f = F.split("value", "\t")
     rec = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(f.alias("f"))
     # flags have no '=': give them a value so that the map keeps them
@@ -40,11 +45,9 @@ def parse_vcf_lines(lines: DataFrame, samples: list[str] | None = None):
         F.map_filter("info", lambda k, v: ~k.isin("END", "SVLEN", *CORE_INFO)).alias("info"),
     )
     keys = F.split(F.col("f")[8], ":")
-    g = d.where(F.size("f") > 9).select(F.col("f")[2].alias("vid"), keys.alias("_k"), F.posexplode(F.slice("f", 10, len(names))).alias("_i", "_v")) if names else None
-    if g is None:
-        return sites, None
+    g = d.where(F.size("f") > 9).select(F.col("f")[2].alias("vid"), keys.alias("_k"), F.posexplode(F.slice("f", F.lit(10), F.size("f") - 9)).alias("_i", "_v")).join(names, "_i")
     m = F.map_from_arrays(F.col("_k"), F.slice(F.concat(F.split("_v", ":"), F.transform("_k", lambda x: F.lit("."))), 1, F.size("_k")))
-    g = g.withColumn("m", m).withColumn("sample", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1))
+    g = g.withColumn("m", m)
     gt = F.split(F.regexp_replace(F.try_element_at("m", F.lit("GT")), r"\|", "/"), "/")
     num = lambda k: F.when(F.try_element_at("m", F.lit(k)) != ".", F.try_element_at("m", F.lit(k))).cast("int")
     al = lambda i: F.when(F.try_element_at(gt, F.lit(i)) != ".", F.try_element_at(gt, F.lit(i))).cast("int")
@@ -63,9 +66,13 @@ def to_vcf_lines(sites: DataFrame, genotypes: DataFrame | None = None, samples:
     d = sites
     if genotypes is not None:
         gt = F.concat_ws(":", F.concat_ws("/", txt("a1"), txt("a2")), txt("gq"), txt("rd_cn"))
-        g = genotypes.groupBy("vid").agg(F.map_from_entries(F.collect_list(F.struct("sample", gt.alias("g")))).alias("_g"))
+        cell = F.struct("_i", F.lit(0).alias("late"), gt.alias("g"))
+        g = genotypes.join(_numbered(sites.sparkSession, samples), "sample").groupBy("vid").agg(F.collect_list(cell).alias("_g"))
         d = sites.join(g, "vid", "left")
-        cells = F.transform(F.array(*[F.lit(s) for s in samples]), lambda s: F.coalesce(F.try_element_at("_g", s), F.lit("./.:.:.")))
+        # one sort puts a null cell behind each written one; the first of each column stays
+        nulls = F.transform(F.sequence(F.lit(0), F.lit(len(samples) - 1)), lambda i: F.struct(i.alias("_i"), F.lit(1).alias("late"), F.lit("./.:.:.").alias("g"))) if samples else F.array().cast("array<struct<_i:int,late:int,g:string>>")
+        d = d.withColumn("_all", F.array_sort(F.concat(F.coalesce("_g", F.array().cast("array<struct<_i:int,late:int,g:string>>")), nulls)))
+        cells = F.transform(F.filter("_all", lambda x, k: F.coalesce(F.get("_all", k - 1)["_i"] != x["_i"], F.lit(True))), lambda x: x["g"])
         cols += [F.lit("GT:GQ:RD_CN"), F.array_join(cells, "\t")]
     return d.select("chrom", "pos", F.concat_ws("\t", *cols).alias("value"))
 

@@ -222,3 +222,38 @@ def test_related_samples_are_pruned_to_the_end(spark):
         left = {p for p in left if worst not in p}
     got = {r["sample"] for r in bt.prune_related(spark.createDataFrame(sorted(pairs), "a string, b string")).collect()}
     assert got == want
+
+
+def test_vcf_round_trip_on_files(spark, tmp_path):
+    from helixloom.sources import vcf
+
+    names = ["s2", "s10", "s1"]
+    sites = spark.createDataFrame(
+        [("chr2", 5, "b", "<DEL>", 7.0, "PASS", 50, "DEL", "chr2", "+-", 45, "manta", "PE,SR", None, None), ("chr1", 9, "a", "<DUP>", None, "X,Y", 90, "DUP", "chr1", "-+", 81, "depth", "RD", None, None), ("chr1", 3, "c", "<INS>", 1.0, None, 4, "INS", "chr1", "+-", -1, "melt", "SR", "dDUP", "DUP_chr1:1-2")],
+        "chrom string, pos long, vid string, alt string, qual double, filter string, stop long, svtype string, chr2 string, strands string, svlen long, algorithms string, evidence string, cpx_type string, cpx_intervals string")
+    genos = spark.createDataFrame([("b", "s1", 0, 1, 30, 1), ("b", "s10", None, None, None, None), ("a", "s2", 1, 1, 99, 4)], "vid string, sample string, a1 int, a2 int, gq int, rd_cn int")
+    path = str(tmp_path / "out")
+    vcf.write_vcf(vcf.to_vcf_lines(sites, genos, names), path, vcf.merge_headers(vcf.header_lines(names[:1], ["chr1"]), vcf.header_lines(names[1:], ["chr1", "chr2"])))
+    s, g = vcf.read_vcf(spark, path)
+    cols = ["vid", "chrom", "pos", "stop", "svlen", "svtype", "chr2", "strands", "alt", "qual", "algorithms", "evidence", "cpx_type", "cpx_intervals"]
+    assert sorted(map(tuple, s.select(*cols).collect()), key=str) == sorted(map(tuple, sites.select(*cols).collect()), key=str)
+    want = {(v, n): (None, None, None, None) for v in "abc" for n in names}
+    want |= {(r["vid"], r["sample"]): (r["a1"], r["a2"], r["gq"], r["rd_cn"]) for r in genos.collect()}
+    assert {(r["vid"], r["sample"]): (r["a1"], r["a2"], r["gq"], r["rd_cn"]) for r in g.collect()} == want and g.count() == 9
+    vcf.write_sites(sites, str(tmp_path / "sites"))
+    assert spark.read.parquet(str(tmp_path / "sites")).where("chrom = 'chr1'").count() == 2
+
+
+def test_bin_counts_on_a_stream(spark, tmp_path):
+    import datetime as dt
+
+    from helixloom.streaming.bincov_stream import stream_bin_counts
+
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    rows = [(at(1), "c", 0, 150, "s", False, False, True), (at(2), "c", 120, 180, "s", False, False, True), (at(3), "c", 120, 180, "s", True, False, True), (at(59), "c", 0, 1, "s", False, False, False)]
+    schema = "ts timestamp, chrom string, start long, stop long, sample string, duplicate boolean, secondary boolean, mapped boolean"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = stream_bin_counts(stream).writeStream.outputMode("complete").format("memory").queryName("bins").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r["bin"], r["cov"]) for r in spark.table("bins").collect()} == {(0, 1), (1, 2)}
