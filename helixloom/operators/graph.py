@@ -2,7 +2,7 @@
 
 Every round is two equi-joins and two map-side combined aggregations, and the edge set
 never grows, so a hub holding a large share of all edges is only a skewed join key (split
-by AQE), never a group collected in one task. Lineage is cut by a reliable checkpoint.
+by AQE), never a group collected in one task. Lineage is cut by tables in the checkpoint folder, whose measured sizes plan the next round.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import settle
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def _jump_to_roots(e: DataFrame) -> DataFrame:
     """Pointer jumping: halves the depth of every tree per round."""
     while True:
         up = e.select(F.col("u").alias("v"), F.col("v").alias("w")).hint("merge")
-        j = cut_lineage(e.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")))
+        j = settle(e.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")))
         e = j.select("u", "v")
         if j.where("moved").limit(1).count() == 0:
             return e
@@ -46,16 +46,16 @@ def _encode(e: DataFrame):
     """Replace node ids by order-preserving longs: nodes are range partitioned, sorted and numbered."""
     n = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    nodes = cut_lineage(nodes.repartitionByRange(n, "node").sortWithinPartitions("node").withColumn("id", F.monotonically_increasing_id()))
+    nodes = settle(nodes.repartitionByRange(n, "node").sortWithinPartitions("node").withColumn("id", F.monotonically_increasing_id()))
     a, b = nodes.select(F.col("node").alias("u"), F.col("id").alias("_u")), nodes.select(F.col("node").alias("v"), F.col("id").alias("_v"))
     e = e.join(a.hint("merge"), "u").join(b.hint("merge"), "v").select(F.greatest("_u", "_v").alias("u"), F.least("_u", "_v").alias("v"))
-    return cut_lineage(e), nodes
+    return settle(e), nodes
 
 
 def connected_components(edges: DataFrame, src="u", dst="v") -> DataFrame:
     """(node, component) for every node with an edge; the component is its smallest node."""
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = settle(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     e, nodes = _encode(e)
     before = None
     while True:
@@ -64,7 +64,7 @@ def connected_components(edges: DataFrame, src="u", dst="v") -> DataFrame:
         if n == 0 or (before is not None and n > 0.99 * before and _is_forest(e)):
             break
         before = n
-        e = cut_lineage(_small_star(_large_star(e)))
+        e = settle(_small_star(_large_star(e)))
     e = _jump_to_roots(e)
     roots = e.select(F.col("v").alias("u")).distinct().withColumn("v", F.col("u"))
     label = nodes.select(F.col("id").alias("v"), F.col("node").alias("component"))
