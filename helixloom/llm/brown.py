@@ -159,9 +159,10 @@ def exchange(pairs: DataFrame, n_words: int, classes: int = CLASSES, rounds: int
                     yield pd.DataFrame({"side": np.full(len(i), side, np.int32), "i": i.astype(np.int32), "c": c.astype(np.int32), "n": t[i, c]})
 
         folded = pairs.mapInPandas(fold, "side int, i int, c int, n long").groupBy("side", "i", "c").agg(F.sum("n").alias("n"))
-        rows = folded.toPandas()  # at most 2 * WORDS * CLASSES numbers
+        rows = folded.toArrow()  # at most 2 * WORDS * CLASSES rows of four numbers
         t = np.zeros((2, n_words, classes))
-        t[rows["side"], rows["i"], rows["c"]] = rows["n"]
+        t[tuple(rows[c].to_numpy() for c in ("side", "i", "c"))] = rows["n"].to_numpy()
+        del rows
         after, before = t
         trans = np.zeros((classes, classes))
         np.add.at(trans, cls, after)  # trans[a, b]: class a before class b
