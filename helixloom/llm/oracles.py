@@ -58,3 +58,11 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+# the pages of the test tables keep their main text in one article element
+ORACLES["op10_consensus_html"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|\z)', 1) AS h FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(h, '</?(p|h1|div|ul|li)>'), lambda x: trim(regexp_replace(
+        replace(replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))) AS bs FROM a)
+SELECT page_id, url, array_to_string(list_filter(bs, lambda x: x <> ''), chr(10)) AS text, length(array_to_string(list_filter(bs, lambda x: x <> ''), chr(10)))::BIGINT AS n_chars FROM b
+"""
