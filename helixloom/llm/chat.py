@@ -62,8 +62,8 @@ def _jumps(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if (1 << (len(rounds) - 1)) > n or open_.limit(1).count() == 0:  # a jump longer than all messages goes round a circle
             break
         above = state.select(F.col("msg_id").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        state = cut_lineage(state.join(above, "up", "left").select(
-            "msg_id", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")))
+        moved = open_.join(above, "up").select("msg_id", F.col("_up").alias("up"), F.col("_top").alias("top"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total"))
+        state = cut_lineage(moved.unionByName(state.where("up IS NULL")))  # messages that have met their root rest
     done = state.where("up IS NULL")
     return done.select("msg_id", F.col("top").alias("root"), "depth", "total"), rounds
 
