@@ -38,6 +38,15 @@ MEMO = 1 << 18
 
 _ROLL = np.array([[xxhash.xxh32_intdigest(bytes([b]), 31 + k) for b in range(256)] for k in range(ROLL)], np.uint32)
 _WHITE = b" \t\n\x0b\x0c\r"
+# a piece of Latin letters, with or without ASCII marks behind them (no apostrophe): one or two words to the tokenizer
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+
+
+def byte_alphabet() -> dict[int, int]:
+    """Characters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow from 256 on."""
+    printable = {b for b in range(256) if 33 <= b <= 126 or 161 <= b and b != 173}
+    others = [b for b in range(256) if b not in printable]
+    return {**{b: b for b in printable}, **{b: 256 + i for i, b in enumerate(others)}}
 
 
 def cuts(data: bytes) -> list[int]:
@@ -82,6 +91,10 @@ class Encoder:
         self.id_text = [str(i).encode() for i in range(size)]
         self.token = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
         self.memo: dict[bytes, tuple[list[int], bytes, bytes]] = {}
+        self.words: dict[str, tuple[list[int], bytes, bytes]] = {}
+        self.alphabet, self.model = byte_alphabet(), self.tokenizer.model
+        probes = ["The", "thereonhe,", "ÉÀüß!!", "x.", "ŒǅȺ", "a###", "queeux&&&", "(b)"]
+        self.plain = all(self._plain_ids(w) in (None, self.ids(w.encode())) for w in probes)  # does the short way give the tokenizer's ids?
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -95,6 +108,30 @@ class Encoder:
     def ids(self, text: bytes) -> list[int]:
         return self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
 
+    def _word(self, word: str) -> tuple[list[int], bytes, bytes]:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= MEMO // 2:
+                self.words.clear()
+            spelled = word.encode().decode("latin-1").translate(self.alphabet)
+            found = self.words[word] = self.entry([t.id for t in self.model.tokenize(spelled)])
+        return found
+
+    def _plain_ids(self, piece: str) -> list[int] | None:
+        e = self._plain_entry(piece)
+        return e[0] if e else None
+
+    def _plain_entry(self, piece: str) -> tuple[list[int], bytes, bytes] | None:
+        """A piece of letters and marks straight by the model, without the tokenizer's general splitting; None for others."""
+        m = _PLAIN.fullmatch(piece)
+        if m is None:
+            return None
+        head = self._word(m[1].lower())
+        if not m[2]:
+            return head
+        tail = self._word(m[2])
+        return head[0] + tail[0], head[1] + b" " + tail[1], head[2] + b" " + tail[2]
+
     def pieces(self, data: bytes) -> list[tuple[list[int], bytes, bytes]]:
         """(ids, ids as text, tokens as text) of each piece of a text."""
         words, memo = data.split(), self.memo
@@ -103,9 +140,10 @@ class Encoder:
             new = list({w for w, e in zip(words, found) if e is None})
             if len(memo) + len(new) > MEMO:
                 memo.clear()
-            fresh = {}
-            for k in range(0, len(new), 4096):
-                part = new[k:k + 4096]
+            fresh = {w: e for w in new if (e := self._plain_entry(w.decode("utf-8", "replace")))} if self.plain else {}
+            rest = [w for w in new if w not in fresh]
+            for k in range(0, len(rest), 4096):
+                part = rest[k:k + 4096]
                 for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
                     fresh[w] = self.entry(e.ids)
             memo.update(fresh)

@@ -57,6 +57,16 @@ def test_cuts_depend_on_content_alone():
     assert len(set(a) & set(b)) >= 0.8 * len(a) > 10 and bpe.cuts(b"") == [] and bpe.cuts("é".encode() * 5)[-1] == 10
 
 
+def test_plain_pieces_take_the_tokenizers_ids():
+    rnd, enc = random.Random(13), bpe.Encoder.at(PATH)
+    assert enc.plain
+    letters = [chr(c) for c in range(0x41, 0x250) if bpe._PLAIN.fullmatch(chr(c))]
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    pieces = letters + ["".join(rnd.choices(letters[:52] if k % 2 else letters, k=rnd.randint(1, 12))) + "".join(rnd.choices(marks, k=rnd.randint(0, 3))) for k in range(4000)]
+    for p in pieces:
+        assert [i for e in enc.pieces(p.encode()) for i in e[0]] == enc.ids(p.encode()), p
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
