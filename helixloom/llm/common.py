@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -52,7 +51,7 @@ def words_of_text(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> XXH64; a bounded memo kept by the worker process."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -68,19 +67,6 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def each_batch(rows: Callable, columns: list[str]) -> Callable[[Iterator], Iterator]:
-    """A mapInPandas function from ``rows(frame) -> list of tuples``; yields once per Arrow batch."""
-    import pandas as pd
-
-    def run(frames):
-        for frame in frames:
-            out = rows(frame)
-            if out:
-                yield pd.DataFrame(out, columns=columns, dtype=object)
-
-    return run
-
-
 class Bitmap:
     """A fixed number of bits over 64-bit hashes: no false negatives, and a size that never grows."""
 
