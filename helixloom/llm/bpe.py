@@ -34,7 +34,7 @@ CHUNK_LOG2 = 10  # mean bytes of a chunk
 LEAST_CHUNK = 64
 ROLL = 8
 BITMAP_LOG2 = 26
-MEMO = 1 << 18
+MEMO = 1 << 17
 
 _ROLL = np.array([[xxhash.xxh32_intdigest(bytes([b]), 31 + k) for b in range(256)] for k in range(ROLL)], np.uint32)
 _WHITE = b" \t\n\x0b\x0c\r"
@@ -111,7 +111,7 @@ class Encoder:
     def _word(self, word: str) -> tuple[list[int], bytes, bytes]:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= MEMO // 2:
+            if len(self.words) >= MEMO:
                 self.words.clear()
             spelled = word.encode().decode("latin-1").translate(self.alphabet)
             found = self.words[word] = self.entry([t.id for t in self.model.tokenize(spelled)])

@@ -56,7 +56,7 @@ class Model:
         """Voters that a raw lower-cased word makes fire; memo of bounded size."""
         found = self.index.get(word)
         if found is None:
-            if len(self.index) > 1 << 19:
+            if len(self.index) > 1 << 17:
                 self.index.clear()
             bare = word.strip(EDGE)
             head = bare.decode("utf-8", "replace")[:PREFIX].encode()
