@@ -46,6 +46,23 @@ def test_hosts_are_refused_by_their_shrunk_rate(spark):
     assert not kept[200] and all(kept[100 + i] for i in range(50))
 
 
+def test_symbols_and_duplicate_lines_are_rules_and_count_for_the_host(spark):
+    good = "one two three four five six seven eight nine ten"
+    marked = good.replace(" ", "### ")
+    lines = "\n".join(["one two three four", "five six", "one two three four", "seven eight nine ten", "one two three four"])
+    rows = [(1, good, "en", "a", 1), (2, marked, "en", "a", 1), (3, lines, "en", "a", 1)] + [(10 + i, good, "en", f"h{i % 8}", 1) for i in range(80)]
+    rows += [(100 + i, marked, "en", "farm", 1) for i in range(45)] + [(200 + i, good, "en", "farm", 1) for i in range(45)]
+    got = quality.judge(docs(spark, rows)).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == {1, *range(10, 90)}  # half of the farm's rows fail: below 0.6, far above all others
+    assert not any(r["base_failed"] for r in got)
+
+
+def test_symbol_junk_does_not_stay_in_the_corpus(spark):
+    d, y = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = quality.judge(d, keep=["doc_id"]).join(y.where("quality = 0"), "doc_id").collect()
+    assert sum(r["kept"] for r in rows) <= 0.1 * len(rows)
+
+
 def test_quality_stage_keeps_columns_and_empty_tables(spark):
     named = docs(spark, [(1, "one two three four five six seven eight nine ten", "en", "a", 1, "x", True)], ", n_words string, kept boolean")
     out = quality.quality_stage(named)
