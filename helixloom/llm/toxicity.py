@@ -29,6 +29,7 @@ MIN_Z = 6.0
 # fixed values: insults that vote in any case
 LEXICON = ["bastard", "clown", "disgusting", "fool", "garbage", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless"]
 EDGE = b".,;:!?\"'()[]{}*#$%&<>|"
+CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 PATTERNS = ["two different hits", "four different hits", "dense hits", "shouting"]
 
 
@@ -37,6 +38,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def capitals(text: str) -> int:
+    if text.isascii():
+        raw = text.encode()
+        return len(raw) - len(raw.translate(None, CAPITALS))
+    return sum(map(str.isupper, text))
+
+
 @dataclass
 class Model:
     words: list[str]
@@ -70,9 +78,8 @@ class Model:
         hits = [v for v in map(self.voters_of, words) if v]
         fired = {i for v in hits for i in v}
         kinds, density = len({v[0] for v in hits}), 100 * len(hits) / max(1, len(words))
-        # shouting is a pattern over the raw text
-        upper = sum(map(str.isupper, (text or "")[:: max(1, len(text or "") // 200)])) if text else 0
-        on = [kinds >= 2, kinds >= 4, density >= 1, upper >= 0.5 * min(200, max(1, len(text or "")))]
+        # shouting is a pattern over the raw text: half of all its characters are capitals
+        on = [kinds >= 2, kinds >= 4, density >= 1, bool(text) and 2 * capitals(text) >= len(text)]
         return sorted(fired) + [self.n_lexical + k for k, x in enumerate(on) if x], min(density, 20) / 5, float(np.log1p(len(hits)))
 
     def features(self, texts) -> np.ndarray:

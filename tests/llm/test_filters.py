@@ -122,6 +122,15 @@ def test_toxicity_held_out_accuracy(spark, fold):
     assert right >= 0.9 * len(rows) and not any(r["predicted"] for r in rows if not r["toxic"])
 
 
+def test_shouting_reads_the_whole_text():
+    m = toxicity.Model([], [])
+    at = m.n_lexical + toxicity.PATTERNS.index("shouting")
+    step = "A" + "b" * 4999  # capitals only where one in 5,000 characters is read
+    for t, shouts in [("A" * 100 + "b" * 299, False), ("A" * 200 + "b" * 199, True), (step * 200, False), ("b" + "A" * 4999, True), ("É" * 50 + "é" * 50, True), ("É" * 49 + "é" * 51, False),
+                      ("A" * 50 + "b" * 50, True), ("AB", True), ("Ab", True), ("abC", False), ("", False), (None, False)]:
+        assert (at in m.votes(t)[0]) == shouts, (t or "")[:20]
+
+
 def test_label_model_shares_votes_of_correlated_voters():
     import numpy as np
 
