@@ -184,6 +184,19 @@ def test_hosts_vote_for_one_path(spark):
     assert got[9] == "short"
 
 
+def test_licences_where_notices_are_frequent(spark):
+    rnd = random.Random(11)
+    filler = [" ".join(rnd.choice("river stone house green walks quiet old the of a".split()) for _ in range(10)) for _ in range(150)]
+    notices = [f"This project {n} is MIT licensed." for n in filler[:60]] + [f"Licensed to the Apache Software Foundation (ASF) under contributor license agreements {n}" for n in filler[60:120]]
+    rows = list(enumerate(filler + notices)) + [(1000 + i, f"{filler[i]} Released under the MIT License. {filler[i + 1]}") for i in range(40)]
+    rows += [(2000, "Released under the MIT License. Licensed under the Apache License, Version 2.0."), (2001, "Licensed under CC BY-SA 4.0."), (2002, "SPDX-License-Identifier: MPL-2.0")]
+    train, held = licences._samples(licences.paragraphs(docs(spark, rows), "doc_id", "text"), 1500)
+    sampled = {r["line"] for r in train.union(held).collect()}
+    assert sampled == set(filler)  # all others, and no notice in any wording
+    got = {(r["doc_id"], r["family"]) for r in licences.scan(docs(spark, rows)).where("confirmed").collect() if r["doc_id"] >= 1000}
+    assert got == {*((1000 + i, "MIT") for i in range(40)), (2000, "MIT"), (2000, "Apache-2.0"), (2001, "CC-BY-SA"), (2002, "MPL")}
+
+
 def test_licences(spark):
     rnd = random.Random(10)
     filler = [" ".join(rnd.choice("river stone house under green version walks the of a mit".split()) for _ in range(12)) for _ in range(400)]
