@@ -66,3 +66,33 @@ b AS (SELECT page_id, url, list_transform(regexp_split_to_array(h, '</?(p|h1|div
         replace(replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))) AS bs FROM a)
 SELECT page_id, url, array_to_string(list_filter(bs, lambda x: x <> ''), chr(10)) AS text, length(array_to_string(list_filter(bs, lambda x: x <> ''), chr(10)))::BIGINT AS n_chars FROM b
 """
+
+ORACLES["op12_grace_dedup"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) AS nth FROM documents),
+g AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND nth = 1 AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
+# CRC-32 byte by byte over distinct words, with the table of the reflected polynomial
+ORACLES["op11_importance_resampling"] = r"""
+WITH RECURSIVE bits AS (SELECT b, b::UBIGINT AS c, 0 AS i FROM range(256) AS r(b)
+    UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END, i + 1 FROM bits WHERE i < 8),
+tab AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE i = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM d),
+v AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+u AS (SELECT DISTINCT w, hex(encode(w)) AS x FROM (SELECT w FROM w UNION ALL SELECT w FROM v)),
+k AS (SELECT w, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(x) + 1, 2), lambda i: ('0x' || x[i:i + 1])::UBIGINT)),
+                                lambda c, b: xor(c // 256, t[(xor(c % 256, b) + 1)::INTEGER])), 4294967295::UBIGINT) % 10000 AS bucket FROM u, tab),
+s AS (SELECT bucket, count(*) AS s FROM w JOIN k USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM v JOIN k USING (w) GROUP BY bucket),
+g AS (SELECT b AS bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE
+             / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM range(10000) AS r(b) LEFT JOIN s ON s.bucket = b LEFT JOIN t ON t.bucket = b),
+n AS (SELECT r, count(*) AS n, sum(gain) AS gain FROM w JOIN k USING (w) JOIN g USING (bucket) GROUP BY r),
+e AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, CASE WHEN n > 0 THEN floor(gain / n)::BIGINT ELSE 0 END AS weight,
+             ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT AS h FROM d LEFT JOIN n USING (r)),
+f AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM e),
+p AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS every FROM f)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= every * 10 // 100 THEN place END AS rank FROM p
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, chat, decontam, html_text, licences, quality, simhash, toxicity, urls
+from . import bpe, brown, chat, decontam, exact_dedup, html_text, importance, licences, quality, simhash, toxicity, urls, whitening
 from .common import read
 from .oracles import ORACLES as ORACLES
 
@@ -78,3 +78,18 @@ def op9_host_quality(spark, sf_dir):
 def op10_consensus_html(spark, sf_dir):
     e = html_text.extract(read(spark, sf_dir, "pages"))
     return e.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_importance_resampling(spark, sf_dir):
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), runs=1).drop("n_words")
+
+
+@query
+def op12_grace_dedup(spark, sf_dir):
+    return exact_dedup.deduplicate(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_chebyshev_whitening(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
