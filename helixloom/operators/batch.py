@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import chisq1_p, two_proportion_chisq
 from ..session import cut_lineage
+from .relatedness import prune_related as prune_related
 
 
 def min_gq_curve(trio_rows: DataFrame, grid: list[int]) -> DataFrame:
@@ -139,23 +140,16 @@ def allele_dosage(genotypes: DataFrame) -> DataFrame:
 
 
 def dosage_components(dosage: DataFrame, k: int = 4) -> DataFrame:
-    """Principal components of the samples.
+    """(sample, component, value): scores of the samples on the leading principal components.
 
-    One vector per variant over the (cohort-sized) sample list, centred, missing dosages at
-    the variant's mean. MLlib folds the vectors into the sample covariance with a tree
-    aggregation; only the cohort x k loadings come back.
+    Dosages are centred per variant over the samples that have one, so a missing dosage stands at its variant's mean. Each
+    component's sign makes its largest score positive (of equal ones that of the first sample).
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
+    from .factors import principal_components, with_signs
 
-    spark = dosage.sparkSession
-    names = sorted(r["sample"] for r in dosage.select("sample").distinct().collect())  # cohort-sized
-    roll = F.array(*[F.lit(n) for n in names])
-    row = dosage.groupBy("vid").agg(F.map_from_entries(F.collect_list(F.struct("sample", "dosage"))).alias("m"), F.avg("dosage").alias("mu"))
-    x = F.transform(roll, lambda s: F.coalesce(F.try_element_at("m", s) - F.col("mu"), F.lit(0.0)))
-    pc = PCA(k=k, inputCol="x", outputCol="pc").fit(row.select(array_to_vector(x).alias("x"))).pc.toArray()
-    rows = [(n, c, float(pc[i, c])) for i, n in enumerate(names) for c in range(k)]
-    return spark.createDataFrame(rows, "sample string, component int, value double")
+    mean = dosage.groupBy("vid").agg(F.avg("dosage").alias("_mu"))
+    centred = dosage.join(mean, "vid").select("vid", "sample", (F.col("dosage") - F.col("_mu")).alias("value")).where("value <> 0")
+    return with_signs(principal_components(centred, k, row="vid", col="sample"), "sample")
 
 
 def label_ancestry(components: DataFrame, training: DataFrame) -> DataFrame:
@@ -173,26 +167,6 @@ def label_ancestry(components: DataFrame, training: DataFrame) -> DataFrame:
     return model.transform(v).select("sample", F.element_at(names, F.col("prediction").cast("int") + 1).alias("ancestry"))
 
 
-def prune_related(pairs: DataFrame) -> DataFrame:
-    """Samples to drop so that no related pair is left: the one with most relatives goes first (ties by id).
-
-    Every round removes all samples that have more relatives than any of their relatives, which
-    gives the greedy result for independent groups at once; pairs are bounded by the cohort.
-    """
-    e = cut_lineage(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    out = None
-    while not e.isEmpty():
-        deg = e.groupBy("a").agg(F.count("*").alias("d"))
-        key = lambda c: F.struct(F.col("d"), F.col(c))
-        da = deg.select("a", key("a").alias("ka"))
-        db = deg.select(F.col("a").alias("b"), F.struct(F.col("d"), F.col("a").alias("b")).alias("kb"))
-        top = e.join(da, "a").join(db, "b").groupBy("a").agg(F.bool_and(F.struct(F.col("ka.d"), F.col("a").alias("x")) > F.struct(F.col("kb.d"), F.col("b").alias("x"))).alias("t")).where("t").select("a")
-        top = cut_lineage(top)
-        out = top if out is None else out.unionByName(top)
-        e = cut_lineage(e.join(top, "a", "left_anti").join(top.withColumnRenamed("a", "b"), "b", "left_anti"))
-    return (out if out is not None else e.select("a")).select(F.col("a").alias("sample"))
-
-
 def mosaic_candidates(metrics: DataFrame, min_log_p: float, min_separation: float, min_size: int = 5000, max_poor: float = 0.3) -> DataFrame:
     """Single-carrier depth variants whose p passes but whose separation is too low for a germline event,
     or lies below Q1 - 1.5 IQR of the passing ones of the type."""

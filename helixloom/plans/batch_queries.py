@@ -6,6 +6,7 @@ from ..functions.exprs import r6
 from ..functions.stats import erfc_sql
 from ..operators import batch as bt
 from ..operators import family as fam
+from .eigen import eigen_sql
 from .frequency_queries import _TRIO
 from .registry import query
 
@@ -126,9 +127,12 @@ def _(t):
     return bt.allele_dosage(t.genotypes)
 
 
-@query("dosage_components")
+_DOSE = "ds AS (SELECT vid, sample, a1 + a2 AS d FROM fx_genotypes WHERE a1 IS NOT NULL AND a2 IS NOT NULL), cd AS (SELECT vid, sample, d - avg(d) OVER (PARTITION BY vid) AS v FROM ds), g0 AS MATERIALIZED (SELECT x.sample AS a, y.sample AS b, sum(x.v * y.v) AS v FROM cd x JOIN cd y ON y.vid = x.vid GROUP BY 1, 2)"
+
+
+@query("dosage_components", f"WITH {_DOSE}, {eigen_sql('g0', 3)} SELECT a AS sample, component, round(value, 4) AS value FROM eig")
 def _(t):
-    return bt.dosage_components(bt.allele_dosage(t.genotypes), 3)
+    return bt.dosage_components(bt.allele_dosage(t.genotypes), 3).withColumn("value", F.round("value", 4))
 
 
 @query("ancestry_labels")
