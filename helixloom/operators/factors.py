@@ -63,7 +63,7 @@ def _combine(table: DataFrame, turn: np.ndarray) -> DataFrame:
 
 
 def principal_components(entries: DataFrame, k: int, row: str | Sequence[str] = "row", col: str = "col", value: str = "value", centre: bool = False, scale: bool = False,
-                         n_rows: int | None = None, block: int | None = None, steps: int = 4, tolerance: float = 1e-10, max_rounds: int = 60) -> Components:
+                         n_rows: int | None = None, block: int | None = None, steps: int = 4, tolerance: float = 1e-9, max_rounds: int = 60) -> Components:
     """Leading right singular vectors of the matrix by randomised block Krylov iteration with restarts.
 
     ``centre`` and ``scale`` refer to columns, as for a correlation matrix; absent entries are zeros then, ``n_rows`` counts the rows
@@ -105,7 +105,7 @@ def principal_components(entries: DataFrame, k: int, row: str | Sequence[str] =
         return settle(out.selectExpr("_c", "_m", "_d", "concat(x, array(" + ", ".join(f"coalesce({t} / _d, 0D) / {by!r}D" for t in names) + ")) AS x"))
 
     q = settle(cols.select("_c", "_m", "_d", F.array(*[F.xxhash64("_c", F.lit(SEED + j)) / float(1 << 63) for j in range(b)]).alias("x")))
-    g, top = _gram(q, b), float(total)
+    g, top, last = _gram(q, b), float(total), float("inf")
     try:
         for _ in range(max_rounds):
             e, u = np.linalg.eigh(g)
@@ -132,8 +132,9 @@ def principal_components(entries: DataFrame, k: int, row: str | Sequence[str] =
             residual = float(np.sqrt(np.abs(np.diag(_gram(q, p, rest)))).max() / max(theta[0], 1e-300))
             q = _combine(q, np.eye(2 * f)[:, :f])
             g = _gram(q, f)
-            if residual <= tolerance or theta[0] <= 0:
+            if residual <= tolerance or theta[0] <= 0 or last / 4 < residual < 1e-6:  # done, or rounding allows no more
                 break
+            last = residual
         real = int(sum(t > 1e-11 * theta[0] for t in theta[:k])) if theta[0] > 0 else 0
         norm = 1 / np.sqrt(np.diag(g))
         vectors = _combine(q, (np.eye(f) * norm)[:, :real]).select(F.col("_c").alias(col), F.posexplode("x").alias("component", "value"))

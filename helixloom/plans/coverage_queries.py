@@ -71,16 +71,65 @@ def _(t):
 @query(
     "depth_two_sample_test",
     f"""WITH {_MAT}, a AS (SELECT vid, count(*) AS n, count(*) FILTER (NOT treat) AS c, avg(depth) AS mu, var_pop(depth) AS v, sum(CASE WHEN NOT treat THEN depth END) AS s FROM sd GROUP BY vid),
-      z AS (SELECT a.vid, (CASE WHEN svtype = 'DEL' THEN -1 ELSE 1 END) * (s - c * mu) / sqrt(c * (n - c) * v / (n - 1)) AS z FROM a JOIN ev USING (vid) WHERE c > 0 AND c < n) SELECT vid, round({norm_cdf_sql('z')}, 5) AS p FROM z""",
+      z AS (SELECT a.vid, (CASE WHEN svtype = 'DEL' THEN -1 ELSE 1 END) * (s - c * mu) / sqrt(c * (n - c) * v / (n - 1)) AS z FROM a JOIN ev USING (vid) WHERE c > 0 AND c < n),
+      ab AS (SELECT vid, grp, count(*) AS n, count(*) FILTER (NOT treat) AS c, avg(depth) AS mu, var_pop(depth) AS v, sum(CASE WHEN NOT treat THEN depth END) AS s FROM inn GROUP BY vid, grp),
+      zb AS (SELECT vid, grp, (CASE WHEN svtype = 'DEL' THEN -1 ELSE 1 END) * (s - c * mu) / sqrt(c * (n - c) * v / (n - 1)) AS z FROM ab JOIN ev USING (vid) WHERE c > 0 AND c < n),
+      q AS (SELECT vid, list(p ORDER BY p DESC) AS l FROM (SELECT vid, {norm_cdf_sql('z')} AS p FROM zb) x GROUP BY vid)
+      SELECT vid, round({norm_cdf_sql('z')}, 5) AS p, round(CASE WHEN len(l) > 1 THEN l[2] ELSE l[1] END, 5) AS p_2nd FROM z JOIN q USING (vid)""",
 )
 def _(t):
     d = dp.two_sample_tests(dp.inner_bins(_matrix(t), t.carriers), t.sql(_EV))
-    return d.select("vid", F.round("p", 5).alias("p"))
+    return d.select("vid", F.round("p", 5).alias("p"), F.round("p_2nd", 5).alias("p_2nd"))
 
 
-@query("depth_test")
+def _erf(a):
+    return f"(CASE WHEN {a} <= 0 THEN 0.0 WHEN {a} > 6 THEN 1.0 ELSE list_sum(list_transform(range(0, 130), lambda n: exp(-({a}) * ({a}) + (2 * n + 1) * ln({a}) - lgamma(n + 1.5)))) END)"
+
+
+def _tail(t, df, shift):
+    """P(T > t) of the noncentral t distribution: the trapezoid rule over the chi density in the logarithm of its argument."""
+    z = f"(({t}) * exp(j / 4.0 / sqrt({df})) - ({shift}))"
+    up = f"(CASE WHEN {z} >= 0 THEN 0.5 - 0.5 * {_erf(f'{z} / sqrt(2)')} ELSE 0.5 + 0.5 * {_erf(f'-{z} / sqrt(2)')} END)"
+    g = f"exp({df} * (j / 4.0 / sqrt({df}) - exp(j / 2.0 / sqrt({df})) / 2) + {df} / 2.0)"
+    return f"(list_sum(list_transform(range(-160, 33), lambda j: CASE WHEN {g} > 1e-15 THEN {g} * {up} ELSE 0 END)) / list_sum(list_transform(range(-160, 33), lambda j: {g})))"
+
+
+_FLIP = """nf AS (SELECT vid, count(DISTINCT sample) FILTER (treat) AS nt, count(DISTINCT sample) FILTER (NOT treat) AS nc FROM inn GROUP BY vid),
+  e2 AS (SELECT ev.vid, CASE WHEN nt > nc AND nc > 0 THEN CASE svtype WHEN 'DEL' THEN 'DUP' ELSE 'DEL' END ELSE svtype END AS svtype, nt, nc FROM ev LEFT JOIN nf USING (vid)),
+  i2 AS (SELECT inn.vid, sample, grp, depth, treat <> (nt > nc AND nc > 0) AS treat FROM inn JOIN nf USING (vid)), s2 AS (SELECT vid, sample, treat, median(depth) AS depth FROM i2 GROUP BY vid, sample, treat)"""
+_SIGN = "(CASE WHEN svtype = 'DEL' THEN 1 ELSE -1 END)"
+
+
+def _fisher(p):
+    x = f"(-sum(ln(greatest({p}, 1e-300))))"
+    return f"(CASE WHEN {x} <= 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, count(*)), lambda i: exp(-{x} + i * ln({x}) - lgamma(i + 1))))) END)"
+
+
+@query(
+    "depth_test",
+    f"""WITH RECURSIVE {_MAT}, {_FLIP},
+      w1 AS (SELECT s2.vid, sample, {norm_cdf_sql(f"{_SIGN} * (depth - mu) / sg")} AS p FROM s2 JOIN (SELECT vid, avg(depth) AS mu, stddev_samp(depth) AS sg FROM s2 WHERE NOT treat GROUP BY vid) c USING (vid) JOIN e2 USING (vid) WHERE treat),
+      b1 AS (SELECT i2.vid, sample, {norm_cdf_sql(f"{_SIGN} * (depth - mu) / sg")} AS p FROM i2 JOIN (SELECT vid, grp, avg(depth) AS mu, stddev_samp(depth) AS sg FROM i2 WHERE NOT treat GROUP BY vid, grp) c ON c.vid = i2.vid AND c.grp = i2.grp JOIN e2 ON e2.vid = i2.vid WHERE treat),
+      q1 AS (SELECT vid, sample, CASE WHEN len(l) > 1 THEN l[2] ELSE l[1] END AS q FROM (SELECT vid, sample, list(p ORDER BY p DESC) AS l FROM b1 GROUP BY vid, sample) x),
+      f1 AS (SELECT vid, {_fisher('p')} AS p1, {_fisher('q')} AS q1 FROM w1 JOIN q1 USING (vid, sample) GROUP BY vid),
+      a2 AS (SELECT vid, 0 AS grp, count(*) AS n, count(*) FILTER (NOT treat) AS c, avg(depth) AS mu, var_pop(depth) AS v, sum(CASE WHEN NOT treat THEN depth END) AS s FROM s2 GROUP BY vid UNION ALL SELECT vid, grp, count(*), count(*) FILTER (NOT treat), avg(depth), var_pop(depth), sum(CASE WHEN NOT treat THEN depth END) FROM i2 GROUP BY vid, grp),
+      z2 AS (SELECT vid, grp, {norm_cdf_sql(f"(-{_SIGN} * (s - c * mu) / sqrt(c * (n - c) * v / (n - 1)))")} AS p FROM a2 JOIN e2 USING (vid) WHERE c > 0 AND c < n),
+      f2 AS (SELECT vid, max(CASE WHEN grp = 0 THEN p END) AS p2, list(p ORDER BY p DESC) FILTER (grp > 0) AS l FROM z2 GROUP BY vid),
+      pa AS (SELECT vid, count(*) FILTER (treat) AS nt, count(*) FILTER (NOT treat) AS nc, stddev_samp(CASE WHEN NOT treat THEN depth END) AS sg FROM s2 GROUP BY vid),
+      dfs AS (SELECT DISTINCT (nt + nc - 2)::DOUBLE AS df FROM pa WHERE nt > 1 AND nc > 1),
+      bi AS (SELECT df, 0 AS i, 0.0::DOUBLE AS lo, 8.0::DOUBLE AS hi FROM dfs UNION ALL SELECT df, i + 1, CASE WHEN up THEN (lo + hi) / 2 ELSE lo END, CASE WHEN up THEN hi ELSE (lo + hi) / 2 END FROM (SELECT *, {_tail('((lo + hi) / 2)', 'df', '0')} > 0.05 AS up FROM bi WHERE i < 45) x),
+      tc AS (SELECT df, lo AS t FROM bi WHERE i = 45),
+      pw AS (SELECT vid, {_tail('t', 'df', '0.5 / sg * sqrt(nt * nc / (nt + nc))')} AS power FROM pa JOIN tc ON tc.df = nt + nc - 2 WHERE nt > 1 AND nc > 1),
+      rk AS (SELECT *, rank() OVER (PARTITION BY vid ORDER BY depth) + (count(*) OVER (PARTITION BY vid, depth) - 1) / 2 AS r FROM s2),
+      sr AS (SELECT vid, median(CASE WHEN treat THEN depth END) AS tm, median(CASE WHEN NOT treat THEN depth END) AS cm, median(CASE WHEN treat THEN r END) AS rk, count(*) AS n FROM rk GROUP BY vid),
+      al AS (SELECT e2.vid, CASE WHEN nt IS NULL THEN 'coverage_failure' WHEN nt = 0 THEN 'No_samples_for_analysis' WHEN nc = 0 THEN 'All_samples_called_CNV_no_analysis' ELSE 'ok' END AS status, svtype FROM e2)
+      SELECT al.vid, status, CASE WHEN status = 'ok' THEN round(power, 5) END AS power, CASE WHEN status = 'ok' THEN round(CASE WHEN power > 0.8 THEN p2 ELSE p1 END, 5) END AS p, CASE WHEN status = 'ok' THEN round(CASE WHEN power > 0.8 THEN CASE WHEN len(l) > 1 THEN l[2] ELSE l[1] END ELSE q1 END, 5) END AS p_2nd,
+        CASE WHEN status = 'ok' THEN CASE WHEN power > 0.8 THEN 'twoSampPerm' ELSE 'singleSampZ' END END AS test, CASE WHEN status = 'ok' THEN round(CASE WHEN svtype = 'DEL' THEN cm - tm ELSE tm - cm END, 6) END AS separation, CASE WHEN status = 'ok' THEN CASE WHEN svtype = 'DEL' THEN rk ELSE n - rk + 1 END END AS rank
+      FROM al LEFT JOIN f1 USING (vid) LEFT JOIN f2 USING (vid) LEFT JOIN pw USING (vid) LEFT JOIN sr USING (vid)""",
+)
 def _(t):
-    return dp.depth_test(_matrix(t), t.carriers, t.sql(_EV))
+    d = dp.depth_test(_matrix(t), t.carriers, t.sql(_EV))
+    return d.withColumns({**{c: F.round(c, 5) for c in ("power", "p", "p_2nd")}, "separation": r6("separation")})
 
 
 _TRAIN = f"""{_MAT}, st AS (SELECT CAST(greatest(ceil((depth - 0.25) / 0.5), 0) AS INT) AS copy_state, depth FROM sd WHERE depth > 0), a AS (SELECT copy_state, avg(depth) AS m, stddev_samp(depth) AS s FROM st GROUP BY copy_state),
@@ -93,6 +142,10 @@ def _cuts(t):
     return dp.train_copy_state_cutoffs(dp.sample_depths(dp.inner_bins(_matrix(t), t.carriers)))
 
 
+def _ph(m):
+    return f"(-10 * log10(greatest({norm_cdf_sql(f'(-abs(depth - {m}) / s)')}, 1e-300)))"
+
+
 @query("train_depth_cutoffs", f"WITH {_TRAIN} SELECT copy_state, round(mean, 6) AS mean, round(sd, 6) AS sd, round(cutoff, 6) AS cutoff FROM cut")
 def _(t):
     return _cuts(t).withColumns({c: r6(c) for c in ("mean", "sd", "cutoff")})
@@ -100,11 +153,14 @@ def _(t):
 
 @query(
     "depth_genotypes",
-    f"""WITH {_TRAIN} SELECT vid, sample, round(depth, 6) AS depth, CAST(coalesce((SELECT min(cut.copy_state) FROM cut WHERE sd.depth <= cut.cutoff), ceil((depth - 0.25) / 0.5)) AS INT) AS copy_state FROM sd""",
+    f"""WITH {_TRAIN}, k AS (SELECT vid, sample, depth, CAST(coalesce((SELECT min(cut.copy_state) FROM cut WHERE sd.depth <= cut.cutoff), ceil((depth - 0.25) / 0.5)) AS INT) AS k FROM sd), s2 AS (SELECT sd AS s FROM cut WHERE copy_state = 2),
+      m AS (SELECT k.*, s, coalesce(a.mean, k * 0.5) AS m0, coalesce(b.mean, (k + 1) * 0.5) AS m2, coalesce(c.mean, (CASE WHEN k = 0 THEN 1 ELSE k - 1 END) * 0.5) AS m1 FROM k, s2 LEFT JOIN cut a ON a.copy_state = k LEFT JOIN cut b ON b.copy_state = k + 1 LEFT JOIN cut c ON c.copy_state = CASE WHEN k = 0 THEN 1 ELSE k - 1 END),
+      g AS (SELECT *, round_even(least({_ph('m1')}, {_ph('m2')}) - {_ph('m0')}, 0) AS g FROM m)
+      SELECT vid, sample, round(depth, 6) AS depth, k AS copy_state, CAST(CASE WHEN g > 999 THEN 999 WHEN g < 0 THEN 1 ELSE g END AS INT) AS gq FROM g""",
 )
 def _(t):
     d = dp.sample_depths(dp.inner_bins(_matrix(t), t.carriers))
-    return dp.genotype_depths(d, dp.train_copy_state_cutoffs(d)).select("vid", "sample", r6("depth").alias("depth"), "copy_state")
+    return dp.genotype_depths(d, dp.train_copy_state_cutoffs(d)).withColumn("depth", r6("depth"))
 
 
 @query("depth_variant_quality")
@@ -186,9 +242,10 @@ def _(t):
 _SX = "SELECT CAST(n_nationkey % 5 AS INT) AS cn_x, CAST(floor(n_nationkey / 5) AS INT) AS cn_y, CASE WHEN n_nationkey % 5 = 2 AND n_nationkey < 5 THEN 'FEMALE' WHEN n_nationkey % 2 = 0 THEN 'MALE' ELSE 'TURNER' END AS sex FROM nation WHERE n_nationkey <> 7"
 
 
-@query("sex_assignment", f"WITH {_CN}, l AS ({_SX}), x AS (SELECT sample, max(CASE WHEN chrom = 'chrX' THEN cn END) AS x, max(CASE WHEN chrom = 'chrY' THEN cn END) AS y FROM cc GROUP BY sample), r AS (SELECT sample, CAST(round_even(x, 0) AS INT) AS cn_x, CAST(round_even(y, 0) AS INT) AS cn_y FROM x) SELECT sample, r.cn_x, r.cn_y, coalesce(sex, 'OTHER') AS sex FROM r LEFT JOIN l ON l.cn_x = r.cn_x AND l.cn_y = r.cn_y")
+@query("sex_assignment", f"WITH {_CN}, l AS ({_SX}), x AS (SELECT sample, max(CASE WHEN chrom = 'chrX' THEN cn END) AS x, max(CASE WHEN chrom = 'chrY' THEN cn END) AS y FROM cc GROUP BY sample), r AS (SELECT sample, x, y, CAST(round_even(x, 0) AS INT) AS cn_x, CAST(round_even(y, 0) AS INT) AS cn_y FROM x), j AS (SELECT r.*, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN coalesce(sex, 'OTHER') END AS sex FROM r LEFT JOIN l ON l.cn_x = r.cn_x AND l.cn_y = r.cn_y), "
+       f"q AS (SELECT stddev_samp(x) AS sx, stddev_samp(y) AS sy FROM j WHERE sex = 'MALE'), zs AS (SELECT j.*, CASE WHEN cn_x > 0 THEN abs(x - cn_x) / (sx * cn_x) END AS zx, abs(y - cn_y) / (sy * greatest(cn_y, 1)) AS zy FROM j, q) SELECT sample, cn_x, cn_y, sex, round({norm_cdf_sql('(-zx)')}, 5) AS p_mosaic_x, round({norm_cdf_sql('(-zy)')}, 5) AS p_mosaic_y FROM zs")
 def _(t):
-    return cv.assign_sex(cv.contig_copy_numbers(_cn(t)), t.sql(_SX)).select("sample", "cn_x", "cn_y", "sex")
+    return cv.assign_sex(cv.contig_copy_numbers(_cn(t)), t.sql(_SX)).withColumns({c: F.round(c, 5) for c in ("p_mosaic_x", "p_mosaic_y")})
 
 
 @query(
@@ -232,12 +289,13 @@ def _(t):
     "train_dosage_model",
     f"""WITH {_CN}, g AS (SELECT sample, CASE WHEN pcr = 'PCRPLUS' THEN 'A' ELSE 'B' END AS grp FROM fx_samples),
       d AS (SELECT chrom, start, avg(CASE WHEN grp = 'A' THEN cn END) AS ma, avg(CASE WHEN grp = 'B' THEN cn END) AS mb, var_samp(CASE WHEN grp = 'A' THEN cn END) AS va, var_samp(CASE WHEN grp = 'B' THEN cn END) AS vb, count(*) FILTER (grp = 'A') AS na, count(*) FILTER (grp = 'B') AS nb FROM cn JOIN g USING (sample) GROUP BY chrom, start)
-      SELECT chrom, start, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(ma - mb, 6) AS separation, CASE WHEN abs(ma - mb) >= 0.1 AND ((ma >= 2 AND mb <= 2) OR (ma <= 2 AND mb >= 2)) THEN round((ma - mb) / sqrt(va / na + vb / nb), 5) END AS t FROM d""",
+      SELECT chrom, start, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(ma - mb, 6) AS separation, CASE WHEN abs(ma - mb) >= 0.1 AND ((ma >= 2 AND mb <= 2) OR (ma <= 2 AND mb >= 2)) THEN round((ma - mb) / sqrt(va / na + vb / nb), 5) END AS t,
+        CASE WHEN abs(ma - mb) >= 0.1 AND ((ma >= 2 AND mb <= 2) OR (ma <= 2 AND mb >= 2)) THEN round(pow(va / na + vb / nb, 2) / (va / na * va / na / (na - 1) + vb / nb * vb / nb / (nb - 1)), 4) END AS df FROM d""",
 )
 def _(t):
     g = t.samples.select("sample", F.when(F.col("pcr") == "PCRPLUS", "A").otherwise("B").alias("grp"))
     d = cv.train_dosage_bins(_cn(t), g)
-    return d.select("chrom", "start", *[r6(c).alias(c) for c in ("mean_a", "mean_b", "separation")], F.round("t", 5).alias("t"))
+    return d.select("chrom", "start", *[r6(c).alias(c) for c in ("mean_a", "mean_b", "separation")], F.round("t", 5).alias("t"), F.round("df", 4).alias("df"))
 
 
 @query("coverage_matrix_qc", "SELECT chrom, sample, CAST(min(cov) AS DOUBLE) AS q0, quantile_cont(cov, 0.25) AS q25, median(cov) AS q50, quantile_cont(cov, 0.75) AS q75, CAST(max(cov) AS DOUBLE) AS q100 FROM fx_bincov GROUP BY chrom, sample")

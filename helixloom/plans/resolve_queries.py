@@ -222,12 +222,12 @@ def _(t):
 
 @query(
     "per_sample_cluster_types",
-    """WITH b AS (SELECT *, concat('S', substr(cluster, 2)) AS sample FROM fx_breaks), c AS (SELECT cluster, sample, count(*) AS n, count(*) FILTER (svtype = 'INV') AS n_inv, count(*) FILTER (chrom <> chr2) AS n_tloc FROM b GROUP BY cluster, sample) SELECT * FROM c""",
+    f"""WITH fb AS (SELECT *, concat('S', substr(cluster, 2)) AS sample FROM fx_breaks), {_TYPES.replace('fx_breaks', 'fb')}, n AS (SELECT cluster, sample, count(*) AS n, count(*) FILTER (svtype = 'INV') AS n_inv, count(*) FILTER (chrom <> chr2) AS n_tloc FROM fb GROUP BY cluster, sample) SELECT n.*, cluster_type FROM n JOIN ct USING (cluster)""",
 )
 def _(t):
     b = t.breaks.withColumn("sample", F.concat(F.lit("S"), F.substring("cluster", 2, 20)))
     n = b.groupBy("cluster", "sample").agg(F.count("*").alias("n"), F.count_if(F.col("svtype") == "INV").alias("n_inv"), F.count_if(F.col("chrom") != F.col("chr2")).alias("n_tloc"))
-    return n.join(rs.cluster_types(b, by=("sample", "cluster")), ["sample", "cluster"]).drop("cluster_type")
+    return n.join(rs.cluster_types(b, by=("sample", "cluster")), ["sample", "cluster"])
 
 
 # ---- merging ---------------------------------------------------------------------------------
@@ -286,11 +286,15 @@ def _(t):
 
 @query(
     "stitch_fragmented_cnvs",
-    """WITH g AS (SELECT name AS vid, string_agg(sample, ',' ORDER BY sample) AS alike FROM fx_calls GROUP BY name),
-      d AS (SELECT name AS vid, chrom, svtype, start AS pos, stop + 1 AS e, alike, least(2000, floor((stop + 1 - start) * 0.2)) AS pad, floor((stop + 1 - start) * 0.2) AS slack FROM fx_calls c JOIN g ON g.vid = c.name WHERE svtype IN ('DEL', 'DUP')),
-      l AS (SELECT *, lag(e) OVER w AS be, lag(pad) OVER w AS bp, lag(slack) OVER w AS bs FROM d WINDOW w AS (PARTITION BY chrom, svtype, alike ORDER BY pos, e, vid)),
-      r AS (SELECT *, count(*) FILTER (NOT coalesce(pos - be < pad + bp AND least(be, e) - pos <= least(slack, bs), false)) OVER (PARTITION BY chrom, svtype, alike ORDER BY pos, e, vid) AS run FROM l)
-      SELECT arg_min(vid, (pos, e, vid)) AS vid, chrom, svtype, min(pos) AS pos, max(e) - 1 AS stop, string_agg(vid, ',' ORDER BY pos, e, vid) AS members FROM r GROUP BY chrom, svtype, alike, run""",
+    """WITH RECURSIVE g AS (SELECT name AS vid, string_agg(sample, ',' ORDER BY sample) AS alike FROM fx_calls GROUP BY name),
+      d AS (SELECT name AS vid, chrom, svtype, alike, start AS s, stop + 1 AS e, least(2000, floor((stop + 1 - start) * 0.2))::BIGINT AS pad, floor((stop + 1 - start) * 0.2)::BIGINT AS slack, row_number() OVER (PARTITION BY chrom, svtype, alike ORDER BY start, stop, name) AS i
+        FROM fx_calls c JOIN g ON g.vid = c.name WHERE svtype IN ('DEL', 'DUP')),
+      z AS (SELECT chrom, svtype, alike, 0::BIGINT AS i, []::STRUCT(head VARCHAR, p BIGINT, e BIGINT, pad BIGINT, slack BIGINT, m VARCHAR[])[] AS live FROM d WHERE i = 1
+        UNION ALL SELECT z.chrom, z.svtype, z.alike, d.i, list_concat(
+            list_transform(live, lambda x: CASE WHEN x.e + x.pad > s - d.pad AND least(x.e, d.e) - s <= least(x.slack, d.slack) THEN {'head': x.head, 'p': x.p, 'e': d.e, 'pad': greatest(x.pad, d.pad), 'slack': greatest(x.slack, d.slack), 'm': list_append(x.m, d.vid)} ELSE x END),
+            CASE WHEN len(list_filter(live, lambda x: x.e + x.pad > s - d.pad AND least(x.e, d.e) - s <= least(x.slack, d.slack))) = 0 THEN [{'head': d.vid, 'p': s, 'e': d.e, 'pad': d.pad, 'slack': d.slack, 'm': [d.vid]}] ELSE [] END)
+          FROM z JOIN d ON d.chrom = z.chrom AND d.svtype = z.svtype AND d.alike = z.alike AND d.i = z.i + 1)
+      SELECT x.head AS vid, chrom, svtype, x.p AS pos, x.e - 1 AS stop, array_to_string(x.m, ',') AS members FROM (SELECT chrom, svtype, unnest(live) AS x FROM (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY chrom, svtype, alike ORDER BY i DESC) = 1))""",
 )
 def _(t):
     s = t.calls.where("svtype IN ('DEL', 'DUP')").select(F.col("name").alias("vid"), "chrom", "svtype", F.col("start").alias("pos"), "stop", F.lit("RD").alias("evidence"), F.lit("PASS").alias("filter"))
