@@ -1,13 +1,14 @@
 """Language-model scores from Brown classes.
 
 Exchange clustering moves words between classes so that the class bigram likelihood of the corpus grows. The ``WORDS`` most frequent words
-are exchanged on the counts of all pairs of one with the last frequent word before it; every other word then takes the class that explains
-its own contexts best. A token's probability is P(class | class of the last frequent word before it) * P(word | class): transitions are
-smoothed towards the class unigram, and a class for unknown words gets the mass that words seen once have in each context.
-
-Counts cover all training texts and are summed before they are shuffled. Only tables bounded by the parameters (WORDS words, CLASSES squared
-counts) pass the driver. Rare words meet their counts and classes in an equi-join; since they are no history, each of their tokens is scored
-on its own and only sums go back to the text.
+are exchanged one by one on the counts of their adjacent pairs, until the likelihood stops growing. All other words have a class too: they
+share ``SLOTS`` slots by hash, and a slot takes the class that explains its words' neighbours best. So every token has a class that a task can
+look up in a table of fixed size, every token is history of the next, and transitions are counted over all adjacent tokens.
+
+A token's probability is P(class | class before) * P(word | class). Transitions are smoothed towards the class unigram; a class gives a word
+unseen in training the mass of its words seen once. Counts cover all training texts and are summed before they are shuffled. Only tables
+bounded by the parameters (WORDS words, SLOTS classes, CLASSES squared counts) pass the driver. The counts of the other words meet their
+tokens in an equi-join; only sums go back to the text.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import hash_words, write_table
 
 WORDS = 1 << 14
-CLASSES = 64
-ROUNDS = 8
+SLOTS = 1 << 20
+CLASSES = 64  # at most 127
+GROWTH = 1e-3  # rounds end when the mutual information of adjacent classes grows by less than this part of it
 SMOOTH = 2.0
-FLUSH = 1 << 19
+FLUSH = 1 << 17  # distinct words a task counts before it sends them on
+CODES = 1 << 20  # the same for numbers
 OWN = "<qbqqdd"  # doc_id, flags, tokens, known, base, score of what the text needs no join for
 END = 0  # number of the text's end, and of what stands before its first word
 
@@ -60,8 +63,9 @@ def _count_words(batches):
         yield _counted(seen)
 
 
-def _numbered(texts: list[list[bytes]], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """For the tokens of some texts, ends included: number (-1 if rare), number of the last frequent word before, the words, the text's index."""
+def _numbered(texts: list[list[bytes]], number: dict[bytes, int], slots: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """For the tokens of some texts, ends included: number, the number before, the words, the text's index. Frequent words have numbers of
+    their own, the others len(number) and their slot."""
     words: list[bytes] = []
     sizes = []
     for t in texts:
@@ -70,8 +74,10 @@ def _numbered(texts: list[list[bytes]], number: dict[bytes, int]) -> tuple[np.nd
         sizes.append(len(t) + 1)
     words.append(b"")
     ids = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))  # the empty word is END
-    last = np.maximum.accumulate(np.where(ids >= 0, np.arange(len(ids)), 0))
-    return ids[1:], ids[last[:-1]], words[1:], np.repeat(np.arange(len(texts)), sizes)
+    rare = np.flatnonzero(ids < 0)
+    if len(rare):
+        ids[rare] = len(number) + (hash_words([words[i] for i in rare.tolist()]) & np.uint64(slots - 1)).astype(np.int64)
+    return ids[1:], ids[:-1], words[1:], np.repeat(np.arange(len(texts)), sizes)
 
 
 def _slices(batch, most: int = 1 << 18):
@@ -87,7 +93,9 @@ def _slices(batch, most: int = 1 << 18):
         yield first, part
 
 
-def _count_pairs(number):
+def _count_codes(codes_of):
+    """(code, n) of the numbers that ``codes_of`` makes of some texts."""
+
     def out(codes):
         code, n = np.unique(np.concatenate(codes), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
@@ -96,11 +104,9 @@ def _count_pairs(number):
         codes, size = [], 0
         for b in batches:
             for _, texts in _slices(b):
-                ids, before, _, _ = _numbered(texts, number.value)
-                keep = ids >= 0
-                codes.append(before[keep] << 32 | ids[keep])
+                codes.append(codes_of(texts))
                 size += len(codes[-1])
-                if size > 6 * FLUSH:
+                if size > CODES:
                     yield out(codes)
                     codes, size = [], 0
         if codes:
@@ -109,46 +115,46 @@ def _count_pairs(number):
     return run
 
 
-def _count_rare(number, classes):
-    """(word, class of the history, n) of rare words."""
+def _pairs_of(number, slots):
+    """Adjacent frequent words."""
 
-    def out(seen):
-        keys = list(seen)
-        return pa.RecordBatch.from_arrays([pa.array([k[1:] for k in keys], pa.binary()), pa.array([k[0] for k in keys], pa.int32()), pa.array(seen.values(), pa.int64())], ["word", "h", "n"])
+    def run(texts):
+        ids, before, _, _ = _numbered(texts, number.value, slots)
+        keep = (ids < len(number.value)) & (before < len(number.value))
+        return before[keep] << 32 | ids[keep]
 
-    def run(batches):
-        seen: Counter = Counter()
-        heads = [bytes([c]) for c in range(256)]
-        for b in batches:
-            for _, texts in _slices(b):
-                ids, before, words, _ = _numbered(texts, number.value)
-                at = np.flatnonzero(ids < 0)
-                h = classes[before[at]].tolist()
-                seen.update([heads[c] + words[i] for c, i in zip(h, at.tolist())])
-                if len(seen) > FLUSH:
-                    yield out(seen)
-                    seen.clear()
-        if seen:
-            yield out(seen)
+    return run
+
+
+def _neighbours_of(number, slots, classes):
+    """Slots with the classes of the frequent words next to them: slot, side (0 before), class."""
+
+    def run(texts):
+        ids, before, _, _ = _numbered(texts, number.value, slots)
+        n = len(number.value)
+        after = (ids >= n) & (before < n)
+        ahead = (ids < n) & (before >= n)
+        return np.concatenate([(ids[after] - n) << 8 | classes[before[after]], (before[ahead] - n) << 8 | 128 | classes[ids[ahead]]])
 
     return run
 
 
-def exchange(pairs: DataFrame, n_words: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """Class of each numbered word from pair counts (before, word, n); class 0 is END's alone.
+def exchange(pairs: DataFrame, n_words: int, classes: int = CLASSES, growth: float = GROWTH) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each numbered word from pair counts (before, word, n), and the counts of adjacent classes; class 0 is END's alone.
 
     The start has the most frequent words in classes of their own and all others in the last. Each round sums the pairs to (word, class)
-    tables on the executors, then moves one half of the words, in turn, each to the class of greatest gain.
+    tables on the executors, then moves words to their classes of greatest gain: all in the first round, one half in turn after it. The rounds
+    end when the likelihood has grown too little twice; the best classes stay.
     """
     cls = np.minimum(np.arange(n_words), classes - 1).astype(np.int64)
     spark = pairs.sparkSession
-    moved = None
-    for r in range(rounds):
+    best_value, best_cls, best_trans, r, idle = -np.inf, cls, np.zeros((classes, classes)), 0, 0
+    while True:
         shared = spark.sparkContext.broadcast(cls.astype(np.int32))
 
         def fold(frames, shared=shared):
             cl = shared.value
-            after, before = np.zeros((n_words, classes), np.int64), np.zeros((n_words, classes), np.int64)
+            after, before = np.zeros((n_words, classes), np.int32), np.zeros((n_words, classes), np.int32)
             for f in frames:
                 a, w, n = f["before"].to_numpy(), f["word"].to_numpy(), f["n"].to_numpy()
                 np.add.at(after, (a, cl[w]), n)
@@ -156,70 +162,89 @@ def exchange(pairs: DataFrame, n_words: int, classes: int = CLASSES, rounds: int
             for side, t in ((0, after), (1, before)):
                 i, c = np.nonzero(t)
                 if len(i):
-                    yield pd.DataFrame({"side": np.full(len(i), side, np.int32), "i": i.astype(np.int32), "c": c.astype(np.int32), "n": t[i, c]})
+                    yield pd.DataFrame({"side": np.full(len(i), side, np.int32), "i": i.astype(np.int32), "c": c.astype(np.int32), "n": t[i, c].astype(np.int64)})
 
         folded = pairs.mapInPandas(fold, "side int, i int, c int, n long").groupBy("side", "i", "c").agg(F.sum("n").alias("n"))
         rows = folded.toArrow()  # at most 2 * WORDS * CLASSES rows of four numbers
         t = np.zeros((2, n_words, classes))
         t[tuple(rows[c].to_numpy() for c in ("side", "i", "c"))] = rows["n"].to_numpy()
         del rows
+        shared.unpersist()
         after, before = t
         trans = np.zeros((classes, classes))
         np.add.at(trans, cls, after)  # trans[a, b]: class a before class b
-        size = trans.sum(0)
+        value = _information(trans)
+        idle = 0 if value > best_value + growth * abs(best_value) else idle + 1
+        if value > best_value:
+            best_value, best_cls, best_trans = value, cls, trans
+        if idle == 2:
+            return best_cls, best_trans
         lp = np.log((trans + 0.1) / (trans.sum(1, keepdims=True) + 0.1 * classes))
-        gain = before @ lp + after @ lp.T - before.sum(1, keepdims=True) * np.log(size + 1.0)[None, :]
+        gain = before @ lp + after @ lp.T - before.sum(1, keepdims=True) * np.log(trans.sum(0) + 1.0)[None, :]
         gain[:, 0] = -np.inf
-        best = gain.argmax(1)
-        if r > 0:  # the first round places all words, later ones a half each
+        to = gain.argmax(1)
+        if r > 0:
             stay = np.arange(n_words) % 2 == r % 2
-            best[stay] = cls[stay]
-        best[END] = 0
-        last, moved = moved, int((best != cls).sum())
-        cls = best
-        shared.unpersist()
-        if moved == 0 and last == 0:
-            break
-    return cls
+            to[stay] = cls[stay]
+        to[END] = 0
+        cls, r = to, r + 1
+
+
+def _information(trans: np.ndarray) -> float:
+    """Mutual information of adjacent classes: the part of the corpus likelihood that depends on the classes."""
+    total = trans.sum()
+    if not total:
+        return 0.0
+    a, b = np.nonzero(trans)
+    return float((trans[a, b] * np.log(trans[a, b] * total / (trans.sum(1)[a] * trans.sum(0)[b]))).sum() / total)
 
 
 @dataclass
 class Model:
     number: object  # broadcast: frequent word -> number
-    classes: np.ndarray
+    classes: np.ndarray  # of the frequent words, then of the slots
     counts: np.ndarray  # of the frequent words
-    rare: DataFrame  # word, c, cls
-    transitions: np.ndarray  # log10 P(class | class before); the last column is the unknown words'
-    sizes: np.ndarray
+    vocabulary: DataFrame  # word, n
+    transitions: np.ndarray  # log10 P(class | class before)
+    sizes: np.ndarray  # training tokens of each class
+    once: np.ndarray  # its words seen once
     tokens: int
     types: int
 
+    @property
+    def slots(self) -> int:
+        return len(self.classes) - len(self.counts)
+
+    @property
+    def mass(self) -> np.ndarray:
+        """What the words of a class and its unseen words share; a text's end has no unseen kind."""
+        m = self.sizes + self.once + 1
+        m[0] = max(self.sizes[0], 1)
+        return m
+
 
-def _assign(gain: np.ndarray):
-    """Rare words' rows (word, contexts) to (word, c, cls): the class of greatest likelihood."""
+def _slot_classes(lp: np.ndarray, sizes: np.ndarray):
+    """(slot, contexts) to (slot, cls, n): the class of greatest likelihood of the neighbours."""
 
     def run(frames):
         for f in frames:
-            lists = f["ctx"].tolist()
-            lens = np.array([len(x) for x in lists])
-            h = np.array([e["h"] for x in lists for e in x])
-            n = np.array([e["n"] for x in lists for e in x], float)
-            starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-            cls = np.concatenate([np.add.reduceat(gain[h[a:b]] * n[a:b, None], starts[i:j] - a, axis=0).argmax(1) for i, j, a, b in _parts(starts, len(h))])
-            yield pd.DataFrame({"word": f["word"], "c": np.add.reduceat(n, starts).astype(np.int64), "cls": cls.astype(np.int32), "ctx": lists})
+            for lo in range(0, len(f), 4096):
+                lists = f["ctx"].iloc[lo:lo + 4096].tolist()
+                lens = np.array([len(x) for x in lists])
+                k = np.array([e["k"] for x in lists for e in x])
+                n = np.array([e["n"] for x in lists for e in x], float)
+                part = np.where((k < 128)[:, None], lp[k & 127] - np.log(sizes + 1.0), lp.T[k & 127]) * n[:, None]
+                gain = np.add.reduceat(part, np.concatenate(([0], np.cumsum(lens)[:-1])), axis=0)
+                gain[:, 0] = -np.inf
+                yield pd.DataFrame({"slot": f["slot"].iloc[lo:lo + 4096].astype("int32"), "cls": gain.argmax(1).astype(np.int32), "n": np.add.reduceat(n, np.concatenate(([0], np.cumsum(lens)[:-1]))).astype(np.int64)})
 
     return run
 
 
-def _parts(starts: np.ndarray, total: int, most: int = 4096):
-    """Rows some thousands at a time: (first row, last row, first entry, last entry)."""
-    for i in range(0, len(starts), most):
-        j = min(i + most, len(starts))
-        yield i, j, int(starts[i]), int(starts[j]) if j < len(starts) else total
-
-
-def fit(train: DataFrame, words: int = WORDS, classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
-    """``train`` has the texts as _t."""
+def fit(train: DataFrame, words: int = WORDS, classes: int = CLASSES, slots: int = SLOTS, growth: float = GROWTH) -> Model:
+    """``train`` has the texts as _t. ``slots`` is a power of two; it bounds the table of classes, not the words that have one."""
+    if not 2 <= classes <= 127:
+        raise ValueError("between 2 and 127 classes")
     sc = train.sparkSession.sparkContext
     vocabulary = write_table(train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     ends = train.count()
@@ -228,66 +253,86 @@ def fit(train: DataFrame, words: int = WORDS, classes: int = CLASSES, rounds: in
     top = vocabulary.orderBy(F.desc("n"), "word").limit(words - 1).collect()
     number = sc.broadcast({b"": END, **{bytes(r["word"]): i + 1 for i, r in enumerate(top)}})
     n_words = len(top) + 1
-    classes = min(classes, 255)
     counts = np.array([ends, *[r["n"] for r in top]], float)
-    pairs = train.mapInArrow(_count_pairs(number), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+    def counted(codes_of):
+        return train.mapInArrow(_count_codes(codes_of), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+    pairs = counted(_pairs_of(number, slots))
     pairs = write_table(pairs.select(F.shiftright("code", 32).cast("int").alias("before"), F.col("code").bitwiseAND((1 << 32) - 1).cast("int").alias("word"), "n"))
-    cls = exchange(pairs, n_words, classes, rounds) if top else np.zeros(1, np.int64)
-    shared = sc.broadcast(cls.astype(np.int32))
+    cls, trans = exchange(pairs, n_words, classes, growth) if top else (np.zeros(1, np.int64), np.zeros((classes, classes)))
+    lp = np.log((trans + 0.1) / (trans.sum(1, keepdims=True) + 0.1 * classes))
+    near = counted(_neighbours_of(number, slots, cls)).select(F.shiftright("code", 8).cast("int").alias("slot"), F.struct(F.col("code").bitwiseAND(255).cast("int").alias("k"), "n").alias("e"))
+    found = near.groupBy("slot").agg(F.collect_list("e").alias("ctx")).mapInPandas(_slot_classes(lp, trans.sum(0)), "slot int, cls int, n long").toArrow()  # at most SLOTS rows
+    slot, slot_cls, n = (found[c].to_numpy() for c in ("slot", "cls", "n"))
+    usual = int(np.bincount(slot_cls, n, classes)[1:].argmax()) + 1  # for slots without a frequent neighbour
+    table = np.full(n_words + slots, usual, np.int8)
+    table[:n_words] = cls
+    table[n_words + slot] = slot_cls
+    shared = sc.broadcast(table)
+
+    def transitions_of(batches):
+        t = np.zeros(classes * classes, np.int64)
+        for b in batches:
+            for _, texts in _slices(b):
+                ids, before, _, _ = _numbered(texts, number.value, slots)
+                t += np.bincount(shared.value[before].astype(np.int64) * classes + shared.value[ids], minlength=classes * classes)
+        at = np.flatnonzero(t)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(t[at])], ["code", "n"])
 
-    def transitions_of(frames):
-        t = np.zeros((classes, classes), np.int64)
-        for f in frames:
-            np.add.at(t, (shared.value[f["before"]], shared.value[f["word"]]), f["n"])
-        a, b = np.nonzero(t)
-        yield pd.DataFrame({"h": a.astype(np.int32), "cls": b.astype(np.int32), "n": t[a, b]})
-
-    trans = np.zeros((classes, classes + 1))
-    for r in pairs.mapInPandas(transitions_of, "h int, cls int, n long").groupBy("h", "cls").agg(F.sum("n").alias("n")).collect():
-        trans[r["h"], r["cls"]] += r["n"]
-    sizes = trans[:, :classes].sum(0)
-    gain = np.log((trans[:, :classes] + 0.1) / (trans.sum(1, keepdims=True) + 0.1 * classes)) - np.log(sizes + 1.0)
-    gain[:, 0] = -1e9  # END's own
-    contexts = train.mapInArrow(_count_rare(number, cls), "word binary, h int, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
-    contexts = contexts.groupBy("word").agg(F.collect_list(F.struct("h", "n")).alias("ctx"))  # at most CLASSES entries
-    rare = write_table(contexts.mapInPandas(_assign(gain), "word binary, c long, cls int, ctx array<struct<h:int,n:long>>"))
-    once = F.sum(F.when(F.col("c") == 1, F.col("e.n")).otherwise(0))
-    for r in rare.select("cls", "c", F.explode("ctx").alias("e")).groupBy("cls", "e.h").agg(F.sum("e.n").alias("n"), once.alias("once")).collect():
-        trans[r["h"], r["cls"]] += r["n"]
-        trans[r["h"], classes] += r["once"]
-    trans[0, classes] += 1  # an unknown word is possible in any corpus
-    sizes = trans[:, :classes].sum(0)
-    share = (trans.sum(0) + 0.01) / (trans.sum() + 0.01 * (classes + 1))
+    def once_of(batches):
+        t = np.zeros(classes, np.int64)
+        for b in batches:
+            w = b.column("word").to_pylist()
+            if w:
+                ids, _, _, _ = _numbered([w], number.value, slots)
+                t += np.bincount(shared.value[ids[:-1]], minlength=classes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(t)], ["code", "n"])
+
+    def summed(d):
+        return {r["code"]: r["n"] for r in d.groupBy("code").agg(F.sum("n").alias("n")).collect()}  # CLASSES squared rows at most
+
+    trans = np.zeros(classes * classes)
+    for k, v in summed(train.mapInArrow(transitions_of, "code long, n long")).items():
+        trans[k] = v
+    trans = trans.reshape(classes, classes)
+    once = np.zeros(classes)
+    for k, v in summed(vocabulary.where("n = 1").select("word").mapInArrow(once_of, "code long, n long")).items():
+        once[k] = v
+    share = (trans.sum(0) + 0.01) / (trans.sum() + 0.01 * classes)
     logs = np.log10((trans + SMOOTH * share[None, :]) / (trans.sum(1, keepdims=True) + SMOOTH))
-    return Model(number, cls, counts, rare.select("word", "c", "cls"), logs, sizes, int(tokens), int(types))
+    return Model(number, table, counts, vocabulary, logs, trans.sum(0), once, int(tokens), int(types))
 
 
-def _score_texts(m_number, classes, counts, logs, sizes, denominator):
-    """Rows to join: rare tokens (word, row, h) and one row for each text with the sums over its frequent tokens, under a word of
+def _score_texts(m: Model, denominator: int):
+    """Rows to join: words that aren't frequent (word, row, class) and one row for each text with the sums that need no join, under a word of
     its own that no table holds."""
-    emit = np.log10(np.maximum(counts, 1e-9) / np.maximum(sizes[classes], 1e-9))
-    base = np.log10((counts + 1) / denominator)
-    known = counts > 0
+    number, counts, slots, n_words = m.number, m.counts, m.slots, len(m.counts)
+    shared = m.vocabulary.sparkSession.sparkContext.broadcast(m.classes)
+    logs, rest = m.transitions, -np.log10(m.mass)
+    emit, base, known = np.log10(np.maximum(counts, 1e-9)), np.log10((counts + 1) / denominator), counts > 0
 
     def run(batches):
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             ids_col, held = b.column("doc_id").to_pylist(), b.column("held_out").to_pylist()
             for first, texts in _slices(b):
-                ids, before, words, text = _numbered(texts, m_number.value)
-                f = np.flatnonzero(ids >= 0)
-                w, h = ids[f], classes[before[f]]
+                ids, before, words, text = _numbered(texts, number.value, slots)
+                cls = shared.value[ids].astype(np.int64)
                 n = len(texts)
-                score = np.bincount(text[f], logs[h, classes[w]] + emit[w], n)
-                plain = np.bincount(text[f], base[w], n)
-                seen = np.bincount(text[f], known[w], n)
+                value = logs[shared.value[before], cls] + rest[cls]
+                f = np.flatnonzero(ids < n_words)
+                value[f] += emit[ids[f]]
+                score = np.bincount(text, value, n)
+                plain = np.bincount(text[f], base[ids[f]], n)
+                seen = np.bincount(text[f], known[ids[f]], n)
                 total = np.bincount(text, minlength=n)
                 own = [struct.pack(OWN, ids_col[first + i] or 0, (ids_col[first + i] is None) + 2 * held[first + i], int(total[i]), int(seen[i]), plain[i], score[i]) for i in range(n)]
-                rare = np.flatnonzero(ids < 0)
+                rare = np.flatnonzero(ids >= n_words)
                 names = [b"\x20" + (row + i).to_bytes(8, "big") for i in range(n)]  # words have no space
                 yield pa.RecordBatch.from_arrays([
                     pa.array(names + [words[i] for i in rare.tolist()], pa.binary()), pa.array(np.concatenate([row + np.arange(n), row + text[rare]]), pa.int64()),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), classes[before[rare]]]), pa.int32()), pa.array(own + [None] * len(rare), pa.binary())], ["word", "row", "h", "own"])
+                    pa.array(np.concatenate([np.zeros(n, np.int64), cls[rare]]).astype(np.int8)), pa.array(own + [None] * len(rare), pa.binary())], ["word", "row", "cls", "own"])
                 row += n
 
     return run
@@ -310,17 +355,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **params)
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out(F.col(f"`{id_col}`")).alias("held_out"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     m = fit(d.where("NOT held_out").select("_t"), **params)
     denominator = m.tokens + m.types + 1
-    spark = docs.sparkSession
-    rows = d.mapInArrow(_score_texts(m.number, m.classes, m.counts, m.transitions, m.sizes, denominator), "word binary, row long, h int, own binary")
-    joined = rows.join(m.rare, "word", "left")
-    unknown = m.transitions.shape[1] - 1
-    table = [(int(h), int(c), float(m.transitions[h, c]), float(np.log10(max(m.sizes[c], 1e-9))) if c < unknown else 0.0) for h in range(m.transitions.shape[0]) for c in range(unknown + 1)]
-    table = spark.createDataFrame(table, "h int, cls int, step double, size double")
-    joined = joined.withColumn("cls", F.coalesce("cls", F.lit(unknown))).join(F.broadcast(table), ["h", "cls"], "left")  # CLASSES squared rows
+    rows = d.mapInArrow(_score_texts(m, denominator), "word binary, row long, cls byte, own binary")
+    joined = rows.join(m.vocabulary.withColumnRenamed("n", "c"), "word", "left")
+    unseen = F.element_at(F.array(*[F.lit(float(np.log10(x + 1))) for x in m.once]), F.col("cls").cast("int") + 1)
     token = F.col("own").isNull()
     sums = joined.groupBy("row").agg(
         F.max("own").alias("own"), F.sum(F.when(token & F.col("c").isNotNull(), 1).otherwise(0)).alias("known"),
         F.sum(F.when(token, F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(denominator)))).otherwise(0.0)).alias("base"),
-        F.sum(F.when(token, F.col("step") + F.coalesce(F.log10("c") - F.col("size"), F.lit(0.0))).otherwise(0.0)).alias("score"))
+        F.sum(F.when(token, F.coalesce(F.log10("c"), unseen)).otherwise(0.0)).alias("score"))
     out = sums.select("own", "known", "base", "score").mapInPandas(_unpack, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"), "base_score", "score")

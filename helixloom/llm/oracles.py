@@ -12,13 +12,16 @@ m AS (SELECT w.r, doc_id, host, len(ws)::BIGINT AS n_words, length(translate(t,
              (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
              (len(list_filter(string_split(t, E'\n'), lambda x: translate(x, E' \t\n\x0b\f\r', '') <> ''))
               - len(list_distinct(list_filter(string_split(t, E'\n'), lambda x: translate(x, E' \t\n\x0b\f\r', '') <> ''))))::BIGINT AS n_dup_lines,
+             len(list_filter(string_split(t, E'\n'), lambda x: translate(x, E' \t\n\x0b\f\r', '') <> '')) AS n_lines,
              coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (r)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-h AS (SELECT host, count(*) AS nd, sum(base_failed::BIGINT) AS nf FROM f GROUP BY host),
-p AS (SELECT sum(nf) / sum(nd) AS mu, var_pop(nf / nd) AS va FROM h),
-k AS (SELECT mu, CASE WHEN va > 0 AND mu * (1 - mu) > va THEN mu * (1 - mu) / va - 1 ELSE 1.0 END AS s FROM p),
-v AS (SELECT host, (nf + mu * s) / (nd + s) < 0.6 AS ok FROM h, k)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept FROM f JOIN v USING (host)
+j AS (SELECT *, base_failed OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 30 * n_lines AS failed FROM f),
+h AS (SELECT host, count(*) AS nd, sum(failed::BIGINT) AS nf FROM j GROUP BY host),
+p AS (SELECT sum(nf) / sum(nd) AS mu, var_pop(nf / nd) AS va, least(sum(nf) / sum(nd), avg(nf / nd)) AS r FROM h),
+k AS (SELECT mu, r, CASE WHEN va > 0 AND mu * (1 - mu) > va THEN mu * (1 - mu) / va - 1 ELSE 1.0 END AS s FROM p),
+q AS (SELECT host, nd + s AS n, (nf + mu * s) / (nd + s) AS x, greatest(0.25, 4 * r / (1 + 3 * r)) AS most FROM h, k),
+v AS (SELECT host, x - 2 * sqrt(x * (1 - x) / (n + 1)) <= most AS ok FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND ok AS kept FROM j JOIN v USING (host)
 """
 
 ORACLES["op3_url_filter"] = r"""

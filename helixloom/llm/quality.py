@@ -1,8 +1,8 @@
 """Quality rules with host verdicts: rule failures are summed by host, each host's failure rate is shrunk by a beta prior
 fitted to all hosts, and the host verdicts go back to the documents. Column functions only.
 
-``judge`` is the whole verdict: the base rules, symbol density and duplicate lines, and hosts measured against the prior. ``judge_base`` is
-what the SQL of op9_host_quality states: the base rules alone and a fixed host limit."""
+``judge`` gives the verdict of the query and of the pipeline's stage: the base rules, symbol density and duplicate lines, and hosts measured
+against the prior."""
 
 from __future__ import annotations
 
@@ -17,7 +17,6 @@ WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 MAX_SYMBOLS_PERCENT = 30  # of the words
 MAX_DUP_LINES_PERCENT = 30  # of the lines that aren't blank
-HOST_RATE = 0.6
 HOST_ODDS = 4  # a refused host has so many times the odds of the mean host to fail, for sure
 LEAST_HOST_RATE = 0.25
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -52,12 +51,12 @@ def quality_metrics(docs: DataFrame, text: str = "text", keep: list[str] | None
     return d.withColumn("_failed", F.col("base_failed") | marks | (100 * F.col("n_dup_lines") > MAX_DUP_LINES_PERCENT * F.col("_n_lines"))).drop("_n_lines")
 
 
-def host_verdicts(rows: DataFrame, host: str, failed: str = "base_failed", max_rate: float | None = HOST_RATE) -> DataFrame:
+def host_verdicts(rows: DataFrame, host: str, failed: str = "_failed") -> DataFrame:
     """(_host, n_docs, n_failed, shrunk_rate, host_ok), one row per host; null hosts count as the empty host.
 
     The prior Beta(a, b) has the mean and variance of the hosts' rates (moments); hosts of one mind, or a single host, give
-    a prior worth one document. A host is refused when its shrunk rate reaches ``max_rate``; with None, when the rate less two standard
-    deviations of its posterior is above ``LEAST_HOST_RATE`` and has ``HOST_ODDS`` times the odds of the mean (the hosts' or the documents', whichever is less).
+    a prior worth one document. A host is refused when its shrunk rate less two standard deviations of its posterior is above
+    ``LEAST_HOST_RATE`` and has ``HOST_ODDS`` times the odds of the mean (the hosts' or the documents', whichever is less).
     """
     hosts = rows.groupBy(F.coalesce(F.col(host), F.lit("")).alias("_host")).agg(F.count("*").alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
@@ -66,32 +65,24 @@ def host_verdicts(rows: DataFrame, host: str, failed: str = "base_failed", max_r
     prior = prior.select("_m", strength.alias("_k"), F.least("_m", "_r").alias("_r"))
     # one row of two numbers
     out = hosts.join(prior, F.lit(True), "left").withColumn("shrunk_rate", (F.col("n_failed") + F.col("_m") * F.col("_k")) / (F.col("n_docs") + F.col("_k")))
-    if max_rate is None:
-        s, n = F.col("shrunk_rate"), F.col("n_docs") + F.col("_k")
-        sure = s - 2 * F.sqrt(s * (1 - s) / (n + 1))
-        ok = sure <= F.greatest(F.lit(LEAST_HOST_RATE), HOST_ODDS * F.col("_r") / (1 + (HOST_ODDS - 1) * F.col("_r")))
-    else:
-        ok = F.col("shrunk_rate") < max_rate
+    s, n = F.col("shrunk_rate"), F.col("n_docs") + F.col("_k")
+    sure = s - 2 * F.sqrt(s * (1 - s) / (n + 1))
+    ok = sure <= F.greatest(F.lit(LEAST_HOST_RATE), HOST_ODDS * F.col("_r") / (1 + (HOST_ODDS - 1) * F.col("_r")))
     return out.select("_host", "n_docs", "n_failed", "shrunk_rate", ok.alias("host_ok"))
 
 
-def _judged(docs: DataFrame, host: str, text: str, keep: list[str] | None, failed: str, max_rate: float | None) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns, the metrics and ``kept``: all rules hold and the host is not refused. One row per input row.
+
+    Only refused hosts go back to the rows. They are settled as a table first, so that their measured size decides whether they are
+    broadcast, and the rows with their texts stay where they are.
+    """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in METRICS + ["kept"]]
     src = docs.withColumn("_hostkey", F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")))
     m = write_table(quality_metrics(src, text, keep + ["_hostkey"]))
-    v = host_verdicts(m, "_hostkey", failed, max_rate).select(F.col("_host").alias("_hostkey"), F.col("host_ok").alias("_ok"))
-    out = m.join(v, "_hostkey", "left")
-    return out.select(*[F.col(f"`{c}`") for c in keep], *METRICS, (~F.col(failed) & F.coalesce(F.col("_ok"), F.lit(True))).alias("kept"))
-
-
-def judge(docs: DataFrame, host: str = "source", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns, the metrics and ``kept``: all rules hold and the host is not refused. One row per input row."""
-    return _judged(docs, host, text, keep, "_failed", None)
-
-
-def judge_base(docs: DataFrame, host: str = "source", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """As ``judge``, but ``kept`` needs the base rules only and a host is refused at ``HOST_RATE`` of them."""
-    return _judged(docs, host, text, keep, "base_failed", HOST_RATE)
+    refused = write_table(host_verdicts(m, "_hostkey").where("NOT host_ok").select(F.col("_host").alias("_hostkey"), F.lit(True).alias("_refused")))
+    out = m.join(refused, "_hostkey", "left")
+    return out.select(*[F.col(f"`{c}`") for c in keep], *METRICS, (~F.col("_failed") & F.col("_refused").isNull()).alias("kept"))
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:

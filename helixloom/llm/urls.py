@@ -45,12 +45,23 @@ def rule_expressions(rules: DataFrame) -> DataFrame:
         "r_rank", F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), (F.col("r_action") == "block").cast("int").alias("b")))
 
 
-def expressions(host: Column, path: Column) -> Column:
+def reach(rules: DataFrame) -> tuple[int, int]:
+    """Characters of the longest rule host and of the longest rule folder: nothing beyond them can meet a rule."""
+    r = rules.agg(F.max(F.length("host")), F.max(F.length(_folder(F.col("path"))))).first()
+    return r[0] or 0, r[1] or 0
+
+
+def host_end(host: Column, longest: int) -> Column:
+    """What follows a dot in it are the suffixes of the host at a label, as far as they are no longer than the longest rule host."""
+    return F.when(F.length(host) <= longest, F.concat(F.lit("."), host)).otherwise(F.right(host, F.lit(longest + 1)))
+
+
+def expressions(end: Column, start: Column) -> Column:
     """All (digest) expressions of a URL: each suffix of the host at a label, with each prefix of the path that ends in a slash, and with the
-    empty prefix."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split(path, "/")
+    empty prefix; from the host's end and the path's start that rules can reach."""
+    labels = F.split(end, r"\.")
+    suffixes = F.when(F.size(labels) > 1, F.transform(F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array().cast("array<string>"))
+    parts = F.split(start, "/")
     folders = F.when(F.size(parts) < 2, F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(folders, lambda f: _digest(s, f))))
@@ -60,19 +71,22 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url:
     """(page_id, host, path, rule, verdict), one row for each input row: ``rule`` is the deciding rule's host and path, a path of one slash
     or null; ``verdict`` its action, or allow without a rule.
 
-    Distinct (host, folder) pairs are expanded, not rows, so a host with a third of all pages costs its distinct folders. A null or
+    A URL is expanded from the end of its host and the start of its path, as long as the longest rule's: exact, and a URL of any length costs no more
+    than the rules do. Distinct pairs of these are expanded, not rows, so a host with a third of all pages costs its distinct folders. A null or
     host-less url has no expression. Rules are broadcast only if the optimizer finds them small; else the join splits hot keys.
     """
     host, path = host_and_path(F.col(f"`{url}`"))
-    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("_folder", _folder(F.col("path")))
+    longest, deepest = reach(rules)
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = rows.withColumns({"_end": F.when(F.col("host") != "", host_end(F.col("host"), longest)).otherwise(""), "_start": _folder(F.substring("path", 1, deepest))})
     ex = rule_expressions(rules)
     # a rule's path beyond its folder can only be tested on the row's own path
-    kinds = rows.where("host <> ''").select("host", "_folder").distinct()
-    seen = kinds.select("host", "_folder", F.explode(expressions(F.col("host"), F.col("_folder"))).alias("_full"))
+    kinds = rows.where("_end <> ''").select("_end", "_start").distinct()
+    seen = kinds.select("_end", "_start", F.explode(expressions(F.col("_end"), F.col("_start"))).alias("_full"))
     seen = seen.withColumn("_short", F.substring("_full", 1, PREFIX_BYTES))
     hits = seen.join(ex, seen["_short"] == ex["r_short"]).where(F.col("_full") == F.col("r_full"))
-    hits = hits.groupBy("host", "_folder").agg(F.collect_list(F.struct("r_rank", "r_host", "r_path", "r_action")).alias("_rules"))  # at most one list entry for each rule of one host and folder
-    out = rows.join(hits, ["host", "_folder"], "left")
+    hits = hits.groupBy("_end", "_start").agg(F.collect_list(F.struct("r_rank", "r_host", "r_path", "r_action")).alias("_rules"))  # at most one list entry for each rule of one host and folder
+    out = rows.join(hits, ["_end", "_start"], "left")
     fits = F.filter("_rules", lambda r: F.startswith(F.col("path"), r["r_path"]))
     best = out.withColumn("_best", F.array_max(fits))
     return best.select("page_id", "host", "path", F.concat(F.col("_best.r_host"), F.col("_best.r_path")).alias("rule"), F.coalesce(F.col("_best.r_action"), F.lit(DEFAULT)).alias("verdict"))

@@ -75,7 +75,8 @@ def test_url_rules(spark):
         ("http://Sub.Example.NET/en/a?x", "example.net/en/", "allow"), ("http://example.net/en", "net/", "block"), ("https://net/", "net/", "block"), ("https://net", None, "allow"),
         ("http://notexample.com/de/", None, "allow"), ("http://a.example.com/de/1#x", "example.com/de/", "block"), ("http://x.org/fr/", "org/fr/", "allow"), ("no scheme", None, "allow"), (None, None, "allow"),
         ("http://example.com?/de/", None, "allow"), ("x://y://example.com/de/", None, "allow"), ("://a.net//en/", "net/", "block"), ("", None, "allow"), ("http://a.net/x", "net/", "block"), ("http://a.net/x", "net/", "block"),
-        ("http://" + "a." * 3000 + "net/" + "p/" * 50, "net/", "block"),
+        ("http://" + "a." * 3000 + "net/" + "p/" * 50, "net/", "block"), ("http://" + "a." * 300_000 + "example.net/en/" + "p/" * 200_000, "example.net/en/", "allow"),
+        ("http://..net/", "net/", "block"), ("http://xexample.net/en/", "net/", "block"), ("http://" + "y" * 90 + ".org/fr/", "org/fr/", "allow"), ("http://example.net./en/", None, "allow"),
     ]
     pages = spark.createDataFrame([(i, u, "clash") for i, (u, _, _) in enumerate(rows)], "page_id long, url string, host string")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(pages, urls.rule_table(spark)).collect()}

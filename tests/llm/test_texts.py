@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from helixloom.llm import bpe, brown, chat, html_text, licences
@@ -132,7 +133,7 @@ def test_language_model(spark):
             t.append(rnd.choice((left, right)[k % 2]) if rnd.random() < 0.9 else f"Rare{rnd.randrange(400)}")
         texts.append(" ".join(t))
     rows = list(enumerate(texts)) + [(1000, None), (1001, ""), (7, texts[7]), (None, texts[3]), (None, None)]
-    got = brown.score(docs(spark, rows), words=40, classes=6, rounds=6).collect()
+    got = brown.score(docs(spark, rows), words=40, classes=6).collect()
     assert len(got) == len(rows)
     c = Counter()
     for i, t in rows:
@@ -153,12 +154,54 @@ def test_language_model(spark):
 
 def test_language_model_is_a_distribution(spark):
     texts = spark.createDataFrame([(t,) for t in ["a b c a b d", "b a c", "x a y b", "q"] * 5 + ["once only"]], "_t string")
-    m = brown.fit(texts, words=4, classes=3, rounds=3)
+    m = brown.fit(texts, words=4, classes=3, slots=8)
     assert np.allclose((10 ** m.transitions).sum(1), 1)
-    mass = np.bincount(m.classes, m.counts, 3)
-    for r in m.rare.collect():
-        mass[r["cls"]] += r["c"]
-    assert np.allclose(mass, m.sizes) and sum(m.counts) + m.rare.agg(F.sum("c")).first()[0] == m.tokens
+    counts = {bytes(r["word"]): r["n"] for r in m.vocabulary.collect()}
+    ids, _, _, _ = brown._numbered([sorted(counts)], m.number.value, m.slots)
+    mass, once = np.zeros(3), np.zeros(3)
+    for i, w in zip(ids, sorted(counts)):
+        mass[m.classes[i]] += counts[w]
+        once[m.classes[i]] += counts[w] == 1
+    mass[0] += m.counts[0]
+    assert np.allclose(mass, m.sizes) and np.allclose(once, m.once) and mass.sum() == m.tokens and once[0] == 0
+    with pytest.raises(ValueError):
+        brown.fit(texts, classes=128)
+
+
+def test_language_model_scores_match_brute_force(spark):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice(["the", "of", "a"] if k % 2 else [f"w{rnd.randrange(60)}", "The", "River"]) for k in range(rnd.randrange(0, 40)))) for i in range(60)]
+    rows += [(70, None), (71, "unseen1 unseen2 the"), (9, "unseen3 w1")]  # 9 and 71 are held out with others
+    args = {"words": 6, "classes": 5, "slots": 16}
+    train = [t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    m = brown.fit(spark.createDataFrame([(t,) for t in train], "_t string"), **args)
+    c = Counter(w for t in train for w in t.lower().split())
+    frequent = [b""] + [w.encode() for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:5]]
+    assert [w for w, _ in sorted(m.number.value.items(), key=lambda x: x[1])] == frequent
+
+    def cls(w):  # None is the end
+        i = m.number.value.get((w or "").encode())
+        return int(m.classes[len(frequent) + xxhash.xxh64_intdigest(w.encode()) % 16] if i is None else m.classes[i])
+
+    trans = np.zeros((5, 5))
+    for t in train:
+        w = [None, *t.lower().split(), None]
+        for a, b in zip(w, w[1:]):
+            trans[cls(a), cls(b)] += 1
+    share = (trans.sum(0) + 0.01) / (trans.sum() + 0.05)
+    size, once = trans.sum(0), np.zeros(5)
+    for w, n in c.items():
+        once[cls(w)] += n == 1
+    got = Counter((r["doc_id"], round(r["score"], 6)) for r in brown.score(docs(spark, rows), **args).collect())
+    want = Counter()
+    for i, t in rows:
+        w, total = [None, *(t or "").lower().split(), None], 0.0
+        for a, b in zip(w, w[1:]):
+            x, y = cls(a), cls(b)
+            total += math.log10((trans[x, y] + brown.SMOOTH * share[y]) / (trans[x].sum() + brown.SMOOTH))
+            total += 0.0 if b is None else math.log10((c[b] if c[b] else once[y] + 1) / (size[y] + once[y] + 1))
+        want[(i, round(total, 6))] += 1
+    assert got == want
 
 
 PAGES = [
