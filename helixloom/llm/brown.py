@@ -43,8 +43,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
-def _texts(batch) -> list[list[bytes]]:
-    return [(x or b"").lower().split() for x in batch.column("_t").cast(pa.binary()).to_pylist()]
+def _texts(batch):
+    """The words of the texts of a batch, few texts at a time in memory."""
+    column = batch.column("_t").cast(pa.binary())
+    for lo in range(0, len(column), 64):
+        for x in column.slice(lo, 64).to_pylist():
+            yield (x or b"").lower().split()
 
 
 def _counted(rows: Counter) -> pa.RecordBatch:
@@ -93,8 +97,27 @@ def _slices(batch, most: int = 1 << 18):
         yield first, part
 
 
+def _number_texts(number, slots):
+    """The numbers of some texts on end, each text with its end, after one end."""
+
+    def run(batches):
+        for b in batches:
+            for _, texts in _slices(b, 1 << 15):
+                ids, _, _, _ = _numbered(texts, number.value, slots)
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[END], ids]).astype(np.int32).tobytes()], pa.binary())], ["ids"])
+
+    return run
+
+
+def _sequences(batches):
+    for b in batches:
+        column = b.column("ids")
+        for i in range(len(column)):
+            yield np.frombuffer(column[i].as_buffer(), np.int32).astype(np.int64)
+
+
 def _count_codes(codes_of):
-    """(code, n) of the numbers that ``codes_of`` makes of some texts."""
+    """(code, n) of the numbers that ``codes_of`` makes of a sequence."""
 
     def out(codes):
         code, n = np.unique(np.concatenate(codes), return_counts=True)
@@ -102,39 +125,35 @@ def _count_codes(codes_of):
 
     def run(batches):
         codes, size = [], 0
-        for b in batches:
-            for _, texts in _slices(b):
-                codes.append(codes_of(texts))
-                size += len(codes[-1])
-                if size > CODES:
-                    yield out(codes)
-                    codes, size = [], 0
+        for ids in _sequences(batches):
+            codes.append(codes_of(ids[:-1], ids[1:]))
+            size += len(codes[-1])
+            if size > CODES:
+                yield out(codes)
+                codes, size = [], 0
         if codes:
             yield out(codes)
 
     return run
 
 
-def _pairs_of(number, slots):
+def _pairs_of(n_words):
     """Adjacent frequent words."""
 
-    def run(texts):
-        ids, before, _, _ = _numbered(texts, number.value, slots)
-        keep = (ids < len(number.value)) & (before < len(number.value))
+    def run(before, ids):
+        keep = (ids < n_words) & (before < n_words)
         return before[keep] << 32 | ids[keep]
 
     return run
 
 
-def _neighbours_of(number, slots, classes):
+def _neighbours_of(n_words, classes):
     """Slots with the classes of the frequent words next to them: slot, side (0 before), class."""
 
-    def run(texts):
-        ids, before, _, _ = _numbered(texts, number.value, slots)
-        n = len(number.value)
-        after = (ids >= n) & (before < n)
-        ahead = (ids < n) & (before >= n)
-        return np.concatenate([(ids[after] - n) << 8 | classes[before[after]], (before[ahead] - n) << 8 | 128 | classes[ids[ahead]]])
+    def run(before, ids):
+        after = (ids >= n_words) & (before < n_words)
+        ahead = (ids < n_words) & (before >= n_words)
+        return np.concatenate([(ids[after] - n_words) << 8 | classes[before[after]], (before[ahead] - n_words) << 8 | 128 | classes[ids[ahead]]])
 
     return run
 
@@ -152,19 +171,30 @@ def exchange(pairs: DataFrame, n_words: int, classes: int = CLASSES, growth: flo
     while True:
         shared = spark.sparkContext.broadcast(cls.astype(np.int32))
 
-        def fold(frames, shared=shared):
+        def fold(batches, shared=shared):
             cl = shared.value
-            after, before = np.zeros((n_words, classes), np.int32), np.zeros((n_words, classes), np.int32)
-            for f in frames:
-                a, w, n = f["before"].to_numpy(), f["word"].to_numpy(), f["n"].to_numpy()
-                np.add.at(after, (a, cl[w]), n)
-                np.add.at(before, (w, cl[a]), n)
-            for side, t in ((0, after), (1, before)):
-                i, c = np.nonzero(t)
-                if len(i):
-                    yield pd.DataFrame({"side": np.full(len(i), side, np.int32), "i": i.astype(np.int32), "c": c.astype(np.int32), "n": t[i, c].astype(np.int64)})
-
-        folded = pairs.mapInPandas(fold, "side int, i int, c int, n long").groupBy("side", "i", "c").agg(F.sum("n").alias("n"))
+            tables, size, held = np.zeros((2, n_words * classes), np.int64), 0, []
+
+            def add():
+                x, w, n = (np.concatenate(c) for c in zip(*held))
+                tables[0] += np.bincount(x * classes + cl[w], n, n_words * classes).astype(np.int64)
+                tables[1] += np.bincount(w * classes + cl[x], n, n_words * classes).astype(np.int64)
+
+            for b in batches:
+                held.append(tuple(b.column(c).to_numpy() for c in ("before", "word", "n")))
+                size += b.num_rows
+                if size > CODES:
+                    add()
+                    size, held = 0, []
+            if held:
+                add()
+            for side in (0, 1):
+                at = np.flatnonzero(tables[side])
+                for lo in range(0, len(at), 1 << 16):
+                    part = at[lo:lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), side, np.int32)), pa.array((part // classes).astype(np.int32)), pa.array((part % classes).astype(np.int32)), pa.array(tables[side][part])], ["side", "i", "c", "n"])
+
+        folded = pairs.mapInArrow(fold, "side int, i int, c int, n long").groupBy("side", "i", "c").agg(F.sum("n").alias("n"))
         rows = folded.toArrow()  # at most 2 * WORDS * CLASSES rows of four numbers
         t = np.zeros((2, n_words, classes))
         t[tuple(rows[c].to_numpy() for c in ("side", "i", "c"))] = rows["n"].to_numpy()
@@ -255,14 +285,17 @@ def fit(train: DataFrame, words: int = WORDS, classes: int = CLASSES, slots: int
     n_words = len(top) + 1
     counts = np.array([ends, *[r["n"] for r in top]], float)
 
+    # the texts as numbers, once: later passes don't take words apart again
+    numbers = write_table(train.mapInArrow(_number_texts(number, slots), "ids binary"))
+
     def counted(codes_of):
-        return train.mapInArrow(_count_codes(codes_of), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        return numbers.mapInArrow(_count_codes(codes_of), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
-    pairs = counted(_pairs_of(number, slots))
+    pairs = counted(_pairs_of(n_words))
     pairs = write_table(pairs.select(F.shiftright("code", 32).cast("int").alias("before"), F.col("code").bitwiseAND((1 << 32) - 1).cast("int").alias("word"), "n"))
     cls, trans = exchange(pairs, n_words, classes, growth) if top else (np.zeros(1, np.int64), np.zeros((classes, classes)))
     lp = np.log((trans + 0.1) / (trans.sum(1, keepdims=True) + 0.1 * classes))
-    near = counted(_neighbours_of(number, slots, cls)).select(F.shiftright("code", 8).cast("int").alias("slot"), F.struct(F.col("code").bitwiseAND(255).cast("int").alias("k"), "n").alias("e"))
+    near = counted(_neighbours_of(n_words, cls)).select(F.shiftright("code", 8).cast("int").alias("slot"), F.struct(F.col("code").bitwiseAND(255).cast("int").alias("k"), "n").alias("e"))
     found = near.groupBy("slot").agg(F.collect_list("e").alias("ctx")).mapInPandas(_slot_classes(lp, trans.sum(0)), "slot int, cls int, n long").toArrow()  # at most SLOTS rows
     slot, slot_cls, n = (found[c].to_numpy() for c in ("slot", "cls", "n"))
     usual = int(np.bincount(slot_cls, n, classes)[1:].argmax()) + 1  # for slots without a frequent neighbour
@@ -273,10 +306,9 @@ def fit(train: DataFrame, words: int = WORDS, classes: int = CLASSES, slots: int
 
     def transitions_of(batches):
         t = np.zeros(classes * classes, np.int64)
-        for b in batches:
-            for _, texts in _slices(b):
-                ids, before, _, _ = _numbered(texts, number.value, slots)
-                t += np.bincount(shared.value[before].astype(np.int64) * classes + shared.value[ids], minlength=classes * classes)
+        for ids in _sequences(batches):
+            c = shared.value[ids].astype(np.int64)
+            t += np.bincount(c[:-1] * classes + c[1:], minlength=classes * classes)
         at = np.flatnonzero(t)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(t[at])], ["code", "n"])
 
@@ -293,7 +325,7 @@ def fit(train: DataFrame, words: int = WORDS, classes: int = CLASSES, slots: int
         return {r["code"]: r["n"] for r in d.groupBy("code").agg(F.sum("n").alias("n")).collect()}  # CLASSES squared rows at most
 
     trans = np.zeros(classes * classes)
-    for k, v in summed(train.mapInArrow(transitions_of, "code long, n long")).items():
+    for k, v in summed(numbers.mapInArrow(transitions_of, "code long, n long")).items():
         trans[k] = v
     trans = trans.reshape(classes, classes)
     once = np.zeros(classes)
