@@ -290,24 +290,98 @@ def side_cutoffs(d: DataFrame, grid: list[int]) -> DataFrame:
     return s.groupBy("common").agg(F.min_by("cutoff", F.struct(F.round(dist, 9), F.col("cutoff"))).alias("cutoff"))
 
 
+def _read_choice() -> tuple[Column, Column, Column]:
+    """Genotype, quality and evidence of the two read genotypes: an alternative one wins over reference, else the better quality, pairs on ties."""
+    pe, sr = F.col("pe_gt"), F.col("sr_gt")
+    better = F.col("pe_gq") >= F.col("sr_gq")
+    only_pe, only_sr = (pe > 0) & (sr == 0), (pe == 0) & (sr > 0)
+    first = F.when(only_pe, True).when(only_sr, False).otherwise(better)
+    ev = F.when(only_pe, "PE").when(only_sr, "SR").otherwise("PE,SR")
+    return F.when(first, pe).otherwise(sr), F.when(first, F.col("pe_gq")).otherwise(F.col("sr_gq")), ev
+
+
+def _as_copies(gt: Column) -> Column:
+    """A read genotype as a copy number (2 is reference)."""
+    return F.when(F.col("svtype") == "DEL", F.when(gt > 1, 0).when(gt == 1, 1).otherwise(2)).otherwise(F.when(gt > 0, gt + 2).otherwise(2))
+
+
+def _from_copies(cn: Column, most: int | None = None) -> Column:
+    """A depth copy number as a genotype of the event's type; a gain of more than ``most`` copies counts as two."""
+    gain = cn - 2 if most is None else F.when(cn - 2 > most, 2).otherwise(cn - 2)
+    return F.when(F.col("svtype") == "DEL", F.when(cn >= 2, 0).when(cn == 1, 1).otherwise(2)).otherwise(F.when(cn <= 2, 0).otherwise(gain))
+
+
+def _toward(q: Column, other: Column) -> Column:
+    return q + (999 - q) * (other / 999) * 0.5
+
+
+def _away(q: Column, other: Column) -> Column:
+    return q - (q - 1) * (other / 999) * 0.5
+
+
+def _at_least_one(d: DataFrame, cols: list[str]) -> DataFrame:
+    """The assigned genotype is the best one there is, so no quality is 0."""
+    return d.withColumns({c: F.when(F.col(c) == 0, 1).otherwise(F.col(c)) for c in cols})
+
+
+def _listed(**on: Column) -> Column:
+    return F.array_join(F.filter(F.array(*[F.when(c, F.lit(n.upper())) for n, c in on.items()]), lambda x: x.isNotNull()), ",")
+
+
+_GQS = ["rd_gq", "pe_gq", "sr_gq", "gq"]
+
+
+def quality_class(no_depth: Column) -> Column:
+    """Which evidence leads: depth for depth-only CNVs, reads for other types and for events without coverage, else by size."""
+    cnv, size = F.col("svtype").isin("DEL", "DUP"), F.col("svlen")
+    return F.when(~cnv | no_depth, "reads").when(F.col("algorithms") == "depth", "depth").when(size >= 5000, "large").when(size >= 1000, "middle").otherwise("small")
+
+
 def integrate_quality(d: DataFrame) -> DataFrame:
-    """Combined genotype and quality from depth (rd) and read (pesr) genotypes, by size class.
+    """Combined genotype, quality and evidence of every (variant, sample) from depth, pairs and split reads.
 
-    Agreement moves the leading quality toward 999 by half of the other one's share, a
-    conflict moves it toward 1. Depth leads from 5 kb on, reads lead below 1 kb and for other
-    types; in between the better quality leads.
+    ``d`` has svtype, svlen, algorithms, rd_cn, rd_gq, pe_gt, pe_gq, sr_gt, sr_gq. Genotypes are compared as copy numbers, where 2 is the
+    reference. A variant that lacks the depth genotype of any sample is judged by reads. From 5 kb on depth leads: reads that agree
+    move its quality toward 999 by half their share, others toward 1. Below, the chosen read genotype leads: from 1 kb on depth moves
+    its quality likewise, under 1 kb only the other kind of reads does, and only up.
     """
-    cnv = F.col("svtype").isin("DEL", "DUP")
-    big, mid = cnv & (F.col("svlen") >= 5000), cnv & (F.col("svlen") >= 1000)
-    only_depth = F.col("algorithms") == "depth"
-    rd_leads = only_depth | big | (mid & (F.col("rd_gq") >= F.col("pesr_gq")))
-    gt = F.when(rd_leads, F.col("rd_gt")).otherwise(F.col("pesr_gt"))
-    q1 = F.when(rd_leads, F.col("rd_gq")).otherwise(F.col("pesr_gq"))
-    q2 = F.when(rd_leads, F.col("pesr_gq")).otherwise(F.col("rd_gq"))
-    agree = (F.col("rd_gt") > 0) == (F.col("pesr_gt") > 0)
-    up, down = q1 + (999 - q1) * (q2 / 999) * 0.5, q1 - (q1 - 1) * (q2 / 999) * 0.5
-    use_both = cnv & ~only_depth
-    gq = F.when(~use_both | (q1 == 999), q1).when(agree, up).otherwise(down)
-    ev = F.array(F.when((F.col("rd_gt") == gt) & cnv, F.lit("RD")), F.when(F.col("pe_gt") == gt, F.lit("PE")), F.when(F.col("sr_gt") == gt, F.lit("SR")))
-    text = F.array_join(F.filter(ev, lambda x: x.isNotNull()), ",")
-    return d.select("vid", "sample", gt.alias("gt"), F.floor(gq).cast("int").alias("gq"), text.alias("ev"))
+    gap = d.groupBy("vid").agg(F.bool_or(F.col("rd_cn").isNull()).alias("_gap"))
+    d = d.join(gap, "vid").withColumn("_class", quality_class(F.col("_gap")))
+    gt, gq, ev = _read_choice()
+    d = d.withColumns({"_gt": gt, "_gq": gq.cast("double"), "_ev": ev}).withColumns({"_c": _as_copies(F.col("_gt")), "_pe": _as_copies(F.col("pe_gt")), "_sr": _as_copies(F.col("sr_gt"))})
+    rd, c, pe, sr, cq, rq = F.col("rd_cn"), F.col("_c"), F.col("_pe"), F.col("_sr"), F.col("_gq"), F.col("rd_gq").cast("double")
+    large = F.when(rq == 999, 999.0).when(rd == c, _toward(rq, cq)).otherwise(_away(rq, cq))
+    middle = F.when(cq == 999, 999.0).when(rd == c, _toward(cq, rq)).otherwise(_away(cq, rq))
+    small = F.when(cq == 999, 999.0).when(pe == sr, _toward(cq, F.least("pe_gq", "sr_gq"))).otherwise(cq)
+    kind = F.col("_class")
+    side = lambda x, lead: (x == 2) == (lead == 2)
+    rd_small = F.when(c == 2, rd == 2).when((pe != 2) & (sr != 2), rd != 2).otherwise(rd == c)
+    text = (
+        F.when(kind == "reads", F.col("_ev")).when(kind == "depth", "RD").when((rd == pe) & (rd == sr), "RD,PE,SR")
+        .when(kind == "large", _listed(rd=F.lit(True), pe=side(pe, rd), sr=side(sr, rd))).when(kind == "middle", _listed(rd=side(rd, c), pe=side(pe, c), sr=side(sr, c)))
+        .otherwise(_listed(rd=rd_small, pe=side(pe, c), sr=side(sr, c))))
+    geno = F.when(kind.isin("depth", "large"), _from_copies(rd)).otherwise(F.col("_gt"))
+    qual = F.when(kind == "reads", cq).when(kind == "depth", rq).when(kind == "large", large).when(kind == "middle", middle).otherwise(small)
+    out = d.select("vid", "sample", "rd_cn", "rd_gq", "pe_gt", "pe_gq", "sr_gt", "sr_gq", F.least(geno, F.lit(2)).cast("int").alias("gt"), qual.alias("gq"), text.alias("ev"))
+    return _at_least_one(out, _GQS)
+
+
+def integrate_read_quality(d: DataFrame) -> DataFrame:
+    """The same for call sets without depth genotypes."""
+    gt, gq, ev = _read_choice()
+    out = d.select("vid", "sample", "pe_gt", "pe_gq", "sr_gt", "sr_gq", F.least(gt, F.lit(2)).cast("int").alias("gt"), gq.alias("gq"), ev.alias("ev"))
+    return _at_least_one(out, _GQS[1:])
+
+
+def integrate_depth_quality(d: DataFrame) -> DataFrame:
+    """The same for depth-only call sets; gains keep up to four extra copies."""
+    out = d.where(F.col("svtype").isin("DEL", "DUP")).select("vid", "sample", "rd_cn", "rd_gq", _from_copies(F.col("rd_cn"), 4).cast("int").alias("gt"), F.col("rd_gq").alias("gq"), F.lit("RD").alias("ev"))
+    return _at_least_one(out, ["rd_gq", "gq"])
+
+
+def integrate_variant_quality(v: DataFrame) -> DataFrame:
+    """Combined quality of each variant (vid, svtype, svlen, algorithms, no_depth, rd_q, pe_q, sr_q)."""
+    rd, reads = F.col("rd_q").cast("double"), F.greatest("pe_q", "sr_q").cast("double")
+    kind = quality_class(F.col("no_depth"))
+    q = F.when(kind == "depth", rd).when(kind == "reads", reads).when(kind == "large", F.when(rd == 999, 999.0).otherwise(_toward(rd, reads))).otherwise(F.when(reads == 999, 999.0).otherwise(_toward(reads, rd)))
+    return _at_least_one(v.select("vid", "rd_q", "pe_q", "sr_q", q.alias("q")), ["rd_q", "pe_q", "sr_q", "q"])

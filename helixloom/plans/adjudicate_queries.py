@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import r6
 from ..functions.stats import norm_cdf_sql
 from ..operators import adjudicate as ad
+from ..operators import adjudication as an
 from .registry import query
 
 _PROBS = """SELECT name, svtype, svsize, algorithms = 'depth' AS is_depth, CAST(rd_median_separation AS DOUBLE) AS rd_median_separation, CAST(pe_log_pval AS DOUBLE) AS pe_log_pval, CAST(sr_log_pval AS DOUBLE) AS sr_log_pval, CAST(rd_log_pval AS DOUBLE) AS rd_log_pval,
@@ -205,15 +206,96 @@ def _(t):
     return ad.side_cutoffs(t.sql(_SIDE), list(range(15)))
 
 
-_IGQ = """SELECT g.vid, g.sample, svtype, svlen, algorithms, CASE WHEN svtype = 'DEL' THEN greatest(2 - rd_cn, 0) ELSE greatest(rd_cn - 2, 0) END AS rd_gt, rd_gq, greatest(pe_gt, sr_gt) AS pesr_gt, greatest(pe_gq, sr_gq) AS pesr_gq, pe_gt, sr_gt FROM fx_genotypes g JOIN fx_sites s ON s.vid = g.vid"""
+# every seventh variant lacks the depth genotype of some samples; a few qualities stand at either end of the scale
+_IGQ = """SELECT g.vid, g.sample, svtype, svlen, algorithms, CASE WHEN qual % 7 = 0 AND gq % 5 = 0 THEN NULL ELSE rd_cn END AS rd_cn, CASE WHEN rd_gq % 10 = 9 THEN 999 ELSE rd_gq END AS rd_gq, pe_gt, CASE WHEN pe_gq % 10 = 3 THEN 999 ELSE pe_gq END AS pe_gq, sr_gt,
+    CASE WHEN sr_gq % 11 = 3 THEN 0 ELSE sr_gq END AS sr_gq FROM fx_genotypes g JOIN fx_sites s ON s.vid = g.vid"""
+_ONE = "CASE WHEN {c} = 0 THEN 1 ELSE {c} END"
+
+
+def _ones(*cols):
+    return ", ".join(f"{_ONE.format(c=c)} AS {c}" for c in cols)
+
+
+_CHOICE = """x AS (SELECT *, CASE WHEN pe_gt = sr_gt AND pe_gq >= sr_gq THEN 1 WHEN pe_gt = sr_gt THEN 2 WHEN pe_gt > 0 AND sr_gt = 0 THEN 3 WHEN pe_gt = 0 AND sr_gt > 0 THEN 4 WHEN pe_gq >= sr_gq THEN 1 ELSE 2 END AS w FROM d),
+  y AS (SELECT *, CASE WHEN w IN (1, 3) THEN pe_gt ELSE sr_gt END AS g0, CASE WHEN w IN (1, 3) THEN pe_gq ELSE sr_gq END AS q0, CASE w WHEN 3 THEN 'PE' WHEN 4 THEN 'SR' ELSE 'PE,SR' END AS e0 FROM x)"""
+_SIZED = "CASE WHEN svtype NOT IN ('DEL', 'DUP') OR {gap} THEN 2 WHEN algorithms = 'depth' THEN 1 WHEN svlen >= 5000 THEN 3 WHEN svlen >= 1000 THEN 4 ELSE 5 END"
+
+
+def _cp(g):
+    return f"CASE WHEN svtype = 'DEL' THEN CASE WHEN {g} > 1 THEN 0 WHEN {g} = 1 THEN 1 ELSE 2 END WHEN {g} > 0 THEN {g} + 2 ELSE 2 END"
 
 
 @query(
     "integrate_genotype_quality",
-    f"""WITH d AS ({_IGQ}), l AS (SELECT *, svtype IN ('DEL', 'DUP') AS cnv, algorithms = 'depth' OR (svtype IN ('DEL', 'DUP') AND (svlen >= 5000 OR (svlen >= 1000 AND rd_gq >= pesr_gq))) AS lead FROM d),
-      q AS (SELECT *, CASE WHEN lead THEN rd_gt ELSE pesr_gt END AS gt, CASE WHEN lead THEN rd_gq ELSE pesr_gq END AS q1, CASE WHEN lead THEN pesr_gq ELSE rd_gq END AS q2 FROM l)
-      SELECT vid, sample, gt, CAST(floor(CASE WHEN NOT cnv OR algorithms = 'depth' OR q1 = 999 THEN q1 WHEN (rd_gt > 0) = (pesr_gt > 0) THEN q1 + (999 - q1) * (q2 / 999) * 0.5 ELSE q1 - (q1 - 1) * (q2 / 999) * 0.5 END) AS INT) AS gq,
-        concat_ws(',', CASE WHEN rd_gt = gt AND cnv THEN 'RD' END, CASE WHEN pe_gt = gt THEN 'PE' END, CASE WHEN sr_gt = gt THEN 'SR' END) AS ev FROM q""",
+    f"""WITH d AS ({_IGQ}), {_CHOICE}, k AS (SELECT *, {_SIZED.format(gap='bool_or(rd_cn IS NULL) OVER (PARTITION BY vid)')} AS cl, {_cp('g0')} AS c, {_cp('pe_gt')} AS p, {_cp('sr_gt')} AS s, rd_cn AS r FROM y),
+      a AS (SELECT *, CASE cl WHEN 1 THEN 'RD' WHEN 2 THEN e0
+          WHEN 3 THEN CASE WHEN r = p AND r = s THEN 'RD,PE,SR' WHEN r = 2 AND r = p THEN 'RD,PE' WHEN r = 2 AND r = s THEN 'RD,SR' WHEN r = 2 THEN 'RD' WHEN p <> 2 AND s <> 2 THEN 'RD,PE,SR' WHEN p <> 2 THEN 'RD,PE' WHEN s <> 2 THEN 'RD,SR' ELSE 'RD' END
+          WHEN 4 THEN CASE WHEN r = p AND r = s THEN 'RD,PE,SR' WHEN c = 2 AND r = 2 AND p = 2 THEN 'RD,PE' WHEN c = 2 AND r = 2 AND s = 2 THEN 'RD,SR' WHEN c = 2 AND p = 2 AND s = 2 THEN 'PE,SR' WHEN c = 2 AND p = 2 THEN 'PE' WHEN c = 2 THEN 'SR'
+            WHEN r <> 2 AND p <> 2 AND s <> 2 THEN 'RD,PE,SR' WHEN r <> 2 AND p <> 2 THEN 'RD,PE' WHEN r <> 2 AND s <> 2 THEN 'RD,SR' WHEN p = 2 THEN 'SR' WHEN s = 2 THEN 'PE' ELSE 'PE,SR' END
+          ELSE CASE WHEN r = p AND r = s THEN 'RD,PE,SR' WHEN c = 2 AND r = 2 AND p = 2 THEN 'RD,PE' WHEN c = 2 AND r = 2 AND s = 2 THEN 'RD,SR' WHEN c = 2 AND p = 2 AND s = 2 THEN 'PE,SR' WHEN c = 2 AND p = 2 THEN 'PE' WHEN c = 2 THEN 'SR'
+            WHEN r <> 2 AND p <> 2 AND s <> 2 THEN 'RD,PE,SR' WHEN r = c AND p <> 2 AND s = 2 THEN 'RD,PE' WHEN r = c AND p = 2 AND s <> 2 THEN 'RD,SR' WHEN p = 2 THEN 'SR' WHEN s = 2 THEN 'PE' ELSE 'PE,SR' END END AS ev,
+        CASE WHEN cl IN (1, 3) THEN CASE WHEN svtype = 'DEL' THEN CASE WHEN r >= 2 THEN 0 WHEN r = 1 THEN 1 ELSE 2 END WHEN r <= 2 THEN 0 ELSE r - 2 END ELSE g0 END AS gt,
+        CASE cl WHEN 1 THEN rd_gq WHEN 2 THEN q0 WHEN 3 THEN CASE WHEN rd_gq = 999 THEN 999 WHEN r = c THEN rd_gq + (999 - rd_gq) * (q0 / 999) * 0.5 ELSE rd_gq - (rd_gq - 1) * (q0 / 999) * 0.5 END
+          WHEN 4 THEN CASE WHEN q0 = 999 THEN 999 WHEN r = c THEN q0 + (999 - q0) * (rd_gq / 999) * 0.5 ELSE q0 - (q0 - 1) * (rd_gq / 999) * 0.5 END
+          ELSE CASE WHEN q0 = 999 THEN 999 WHEN p = s AND pe_gq >= sr_gq THEN q0 + (999 - q0) * (sr_gq / 999) * 0.5 WHEN p = s THEN q0 + (999 - q0) * (pe_gq / 999) * 0.5 ELSE q0 END END::DOUBLE AS gq FROM k)
+      SELECT vid, sample, rd_cn, {_ones('rd_gq', 'pe_gq', 'sr_gq')}, pe_gt, sr_gt, CAST(least(gt, 2) AS INT) AS gt, round({_ONE.format(c='gq')}, 6) AS gq, ev FROM a""",
 )
 def _(t):
-    return ad.integrate_quality(t.sql(_IGQ))
+    return ad.integrate_quality(t.sql(_IGQ)).withColumn("gq", r6("gq"))
+
+
+@query("integrate_read_genotype_quality", f"WITH d AS ({_IGQ}), {_CHOICE} SELECT vid, sample, pe_gt, sr_gt, {_ones('pe_gq', 'sr_gq')}, CAST(least(g0, 2) AS INT) AS gt, {_ONE.format(c='q0')} AS gq, e0 AS ev FROM y")
+def _(t):
+    return ad.integrate_read_quality(t.sql(_IGQ))
+
+
+@query("integrate_depth_genotype_quality", f"WITH d AS ({_IGQ}) SELECT vid, sample, rd_cn, {_ones('rd_gq')}, CAST(CASE WHEN svtype = 'DEL' THEN CASE WHEN rd_cn >= 2 THEN 0 WHEN rd_cn = 1 THEN 1 ELSE 2 END WHEN rd_cn <= 2 THEN 0 WHEN rd_cn - 2 > 4 THEN 2 ELSE rd_cn - 2 END AS INT) AS gt, {_ONE.format(c='rd_gq')} AS gq, 'RD' AS ev FROM d WHERE svtype IN ('DEL', 'DUP') AND rd_cn IS NOT NULL")
+def _(t):
+    return ad.integrate_depth_quality(t.sql(_IGQ).where("rd_cn IS NOT NULL"))
+
+
+_VGQ = "SELECT vid, svtype, svlen, algorithms, qual % 7 = 0 AS no_depth, CASE WHEN qual % 5 = 0 THEN 999 ELSE qual % 400 END AS rd_q, (qual * 7) % 1000 AS pe_q, (qual * 13) % 1000 AS sr_q FROM fx_sites"
+
+
+@query(
+    "integrate_variant_quality",
+    f"""WITH v AS ({_VGQ}), k AS (SELECT *, {_SIZED.format(gap='no_depth')} AS cl FROM v), a AS (SELECT *, CASE cl WHEN 1 THEN rd_q WHEN 2 THEN CASE WHEN pe_q >= sr_q THEN pe_q ELSE sr_q END
+        WHEN 3 THEN CASE WHEN rd_q = 999 THEN 999 WHEN pe_q >= sr_q THEN rd_q + (999 - rd_q) * (pe_q / 999) * 0.5 ELSE rd_q + (999 - rd_q) * (sr_q / 999) * 0.5 END
+        ELSE CASE WHEN pe_q = 999 OR sr_q = 999 THEN 999 WHEN pe_q >= sr_q THEN pe_q + (999 - pe_q) * (rd_q / 999) * 0.5 ELSE sr_q + (999 - sr_q) * (rd_q / 999) * 0.5 END END::DOUBLE AS q FROM k)
+      SELECT vid, {_ones('rd_q', 'pe_q', 'sr_q')}, round({_ONE.format(c='q')}, 6) AS q FROM a""",
+)
+def _(t):
+    return ad.integrate_variant_quality(t.sql(_VGQ)).withColumn("q", r6("q"))
+
+
+# ---- adjudication of all strata ----------------------------------------------------------------
+
+_ADJ = """SELECT name, CASE WHEN svsize % 29 = 0 THEN 'chrX' ELSE chrom END AS chrom, svtype, svsize, algorithms = 'depth' AND svtype IN ('DEL', 'DUP') AS is_depth, CAST(poor_region_cov AS DOUBLE) AS poor_region_cov, is_outlier_specific,
+    CAST(rd_median_separation AS DOUBLE) AS rd_median_separation, CAST(rd_log_pval AS DOUBLE) + 4 * CAST(rd_median_separation AS DOUBLE) AS rd_log_pval, CAST(rd_log_2nd_max_p AS DOUBLE) + CAST(rd_median_separation AS DOUBLE) AS rd_log_2nd_max_p,
+    CAST(baf_del_loglik AS DOUBLE) + 2 * CAST(rd_median_separation AS DOUBLE) AS baf_del_loglik, CAST(rd_median_separation AS DOUBLE) + (svsize % 10) / 40.0 AS baf_snp_ratio, CAST(baf_ks_log_pval AS DOUBLE) + 5 * CAST(rd_median_separation AS DOUBLE) AS baf_ks_log_pval, CAST(rd_median_separation AS DOUBLE) / 2 + (svsize % 7) / 50.0 AS baf_ks_stat,
+    CAST(sr_log_pval AS DOUBLE) / 4 + 6 * CAST(rd_median_separation AS DOUBLE) AS sr_log_pval, CAST(rd_median_separation AS DOUBLE) / 3 + (svsize % 11) / 60.0 AS sr_bg_frac, CAST(pe_log_pval AS DOUBLE) / 4 + 6 * CAST(rd_median_separation AS DOUBLE) AS pe_log_pval,
+    CAST(rd_median_separation AS DOUBLE) / 3 + (svsize % 13) / 60.0 AS pe_bg_frac, CAST(pe_log_pval AS DOUBLE) / 8 + CAST(sr_log_pval AS DOUBLE) / 8 + 6 * CAST(rd_median_separation AS DOUBLE) AS pesr_log_pval, CAST(rd_median_separation AS DOUBLE) / 3 + (svsize % 17) / 60.0 AS pesr_bg_frac FROM fx_metrics"""
+
+
+def _stratum_sql(i, s):
+    has = " AND ".join(f"{f} IS NOT NULL" for f in s.features)
+    return f"SELECT {i} AS stratum, '{s.test}' AS test, '{s.algtype}' AS algtype, '{s.svtype}' AS svtype, count(*) AS n_testable, count(*) FILTER ({s.train} AND poor_region_cov < 0.3 AND chrom NOT IN ('chrX', 'chrY') AND NOT is_outlier_specific) AS n_trainable FROM a WHERE {s.where} AND {has}"
+
+
+@query("adjudication_strata", f"WITH a AS ({_ADJ}) " + " UNION ALL ".join(_stratum_sql(i, s) for i, s in enumerate(an.STRATA)))
+def _(t):
+    return an.stratum_sizes(t.sql(_ADJ))
+
+
+def _adjudicated(t):
+    return an.adjudicate(t.sql(_ADJ), trees=20, depth=6)
+
+
+@query("adjudication_cutoffs")
+def _(t):
+    return _adjudicated(t)[1]
+
+
+@query("adjudicated_scores")
+def _(t):
+    return _adjudicated(t)[0]

@@ -8,12 +8,13 @@ from ..operators import depth as dp
 from ..operators import evidence as ev
 from ..operators import factors as fa
 from ..operators import mixture as mx
+from ..operators import mosaic as mo
 from ..operators import regenotype as rg
 from ..operators import relatedness as rl
 from ..operators import resolution as rn
 from ..sources import gene_model as gm
 from .cluster_queries import CC
-from .coverage_queries import _MAT, _matrix
+from .coverage_queries import _EV, _MAT, _matrix
 from .eigen import eigen_sql
 from .evidence_queries import _DEL, _WIN, _windows
 from .registry import query
@@ -315,3 +316,40 @@ def _(t):
 )
 def _(t):
     return gm.trim_exons(_gtf(t)).where("feature = 'exon'").select(F.col("attributes")["transcript_id"].alias("transcript"), "start", "stop")
+
+
+# ---- mosaic events of parents ----------------------------------------------------------------
+
+_MOM = "SELECT substr(name, 2) AS name, svtype, algorithms, vf / 10 AS vf, CASE WHEN svsize % 3 = 0 THEN 1 ELSE 0 END AS n_children, CAST(rd_log_pval AS DOUBLE) AS rd_log_pval, CAST(rd_log_2nd_max_p AS DOUBLE) AS rd_log_2nd_max_p, CAST(poor_region_cov AS DOUBLE) AS poor_region_cov FROM fx_metrics"
+_MOC = "m AS (SELECT name, CASE WHEN algorithms <> 'depth' THEN 'reads' WHEN svtype = 'DEL' THEN 'depth_del' ELSE 'depth_dup' END AS class, rd_log_pval AS p, rd_log_2nd_max_p AS q, poor_region_cov AS x FROM ({s}) z WHERE svtype IN ('DEL', 'DUP') AND vf < 0.02 AND n_children = 0), cand AS (SELECT name, class FROM m WHERE q >= 2.05 AND x <= 0.3 AND CASE class WHEN 'reads' THEN p >= 3 AND q >= 2.5 WHEN 'depth_del' THEN p >= 2 AND q >= 3 ELSE p >= 4 AND q >= 2 END)".replace("{s}", _MOM)
+
+
+def _mosaics(t):
+    return mo.mosaic_candidates_by_depth(t.sql(_MOM), {"reads": (3.0, 2.5), "depth_del": (2.0, 3.0), "depth_dup": (4.0, 2.0)}, max_frequency=0.02)
+
+
+@query("mosaic_depth_candidates", f"WITH {_MOC} SELECT name, class FROM cand")
+def _(t):
+    return _mosaics(t)
+
+
+@query(
+    "mosaic_sites",
+    f"""WITH RECURSIVE {_MOC}, k AS (SELECT fx_calls.* FROM fx_calls JOIN cand USING (name) WHERE stop - start >= 5000), n AS (SELECT name AS node FROM k),
+      e AS (SELECT a.name AS a, b.name AS b FROM k a JOIN k b ON a.chrom = b.chrom AND a.svtype = b.svtype AND a.name <> b.name AND a.start < b.stop AND b.start < a.stop AND least(a.stop, b.stop) - greatest(a.start, b.start) >= 0.8 * (a.stop - a.start) AND least(a.stop, b.stop) - greatest(a.start, b.start) >= 0.8 * (b.stop - b.start)),
+      {CC}, per AS (SELECT label, chrom, svtype, sample, min(start) AS start, max(stop) AS stop FROM k JOIN lab ON lab.node = k.name GROUP BY label, chrom, svtype, sample)
+      SELECT label AS vid, chrom, svtype, CAST(floor(median(start)) AS BIGINT) AS start, CAST(floor(median(stop)) AS BIGINT) AS stop, string_agg(sample, ',' ORDER BY sample) AS samples FROM per GROUP BY label, chrom, svtype""",
+)
+def _(t):
+    return mo.mosaic_sites(t.calls, _mosaics(t))
+
+
+@query(
+    "mosaic_events",
+    f"""WITH {_MAT}, b AS (SELECT vid, grp, median(CASE WHEN treat THEN depth END) AS tr, median(CASE WHEN NOT treat THEN depth END) AS ct FROM inn GROUP BY vid, grp), s AS (SELECT vid, max(CASE WHEN svtype = 'DEL' THEN ct - tr ELSE tr - ct END) AS sep FROM b JOIN ev USING (vid) GROUP BY vid),
+      r AS (SELECT *, row_number() OVER (ORDER BY sep, vid) AS i, count(*) OVER () AS n FROM s WHERE sep IS NOT NULL), q AS (SELECT max(CASE WHEN i = n // 4 THEN sep END) AS a, max(CASE WHEN i = n * 3 // 4 THEN sep END) AS b FROM r)
+      SELECT vid, round(sep, 6) AS separation FROM r, q WHERE sep <= a - 1.5 * (b - a)""",
+)
+def _(t):
+    d = mo.mosaic_separation(dp.inner_bins(_matrix(t), t.carriers), t.sql(_EV))
+    return mo.below_fence(d).withColumn("separation", r6("separation"))

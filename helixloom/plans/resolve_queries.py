@@ -189,14 +189,58 @@ def _(t):
     return _assessed(t).withColumns({"del_diff": r6("del_diff"), "dup_diff": r6("dup_diff")})
 
 
+# complex variants with their intervals, insertions with a source and a sink interval, inversion single enders; the assessment follows from the qualities
+_RTV = """SELECT vid, chrom, CASE WHEN svtype IN ('DEL', 'DUP', 'INV') THEN 'INS' WHEN svtype = 'CNV' THEN 'BND' ELSE svtype END AS svtype, pos, CASE WHEN svtype IN ('INS', 'BND') THEN pos + 60 ELSE stop END AS stop,
+    CASE WHEN svtype = 'CPX' THEN cpx_type WHEN svtype = 'DEL' THEN CASE qual % 4 WHEN 0 THEN 'INS_A2B' WHEN 1 THEN 'CTX_INS_B2A' WHEN 2 THEN 'CTX_INV_INS_A2B' ELSE 'INS_B2A' END WHEN svtype = 'DUP' THEN 'DUP5/INS3' WHEN svtype = 'INV' THEN 'DUP3/INS5' WHEN svtype = 'INS' THEN 'INS:ME:ALU'
+      WHEN svtype = 'CNV' THEN CASE WHEN qual % 2 = 0 THEN 'INVERSION_SINGLE_ENDER_++' ELSE 'INVERSION_SINGLE_ENDER_--' END END AS cpx_type,
+    CASE WHEN svtype = 'DEL' AND qual % 9 = 0 THEN NULL WHEN svtype IN ('DEL', 'INV') THEN concat('INS_', chrom, ':', CAST(stop + 700 AS STRING), '-', CAST(stop + 700 + qual * (CASE WHEN qual % 8 = 0 THEN 3000 ELSE 7 END) AS STRING))
+      WHEN svtype = 'DUP' THEN concat('INV_', chrom, ':', CAST(greatest(pos - 900 - qual * (CASE WHEN qual % 8 = 0 THEN 3000 ELSE 2 END), 0) AS STRING), '-', CAST(pos - (qual % 3) * 200 AS STRING)) END AS source, qual FROM fx_sites"""
+_RTI = rf"""rtv AS ({_RTV}), src AS (SELECT *, regexp_extract(source, '_([^:]+):', 1) AS sc, CAST(nullif(regexp_extract(source, ':([0-9]+)-', 1), '') AS BIGINT) AS s0, CAST(nullif(regexp_extract(source, '-([0-9]+)$', 1), '') AS BIGINT) AS s1 FROM rtv),
+  iv AS (SELECT f.vid, 'DEL' AS kind, f.chrom, f.pos AS start, f.stop, qual + 1 AS h FROM fx_sites f WHERE svtype = 'CPX' AND qual % 5 > 0 UNION ALL SELECT f.vid, 'INV', f.chrom, f.pos + 5, f.stop, qual + 2 FROM fx_sites f WHERE svtype = 'CPX'
+    UNION ALL SELECT vid, 'INS', sc, s0, s1, qual FROM src WHERE source IS NOT NULL UNION ALL SELECT vid, 'INS', chrom, pos, stop, qual * 3 + 1 FROM src WHERE svtype = 'INS' UNION ALL SELECT vid, 'INS', chrom, stop + 10, stop + 10 + qual * 3, qual * 5 FROM src WHERE svtype = 'INS' AND source IS NULL UNION ALL SELECT vid, 'INV', chrom, pos, stop, qual FROM src WHERE svtype = 'BND'),
+  asm AS (SELECT vid, kind, chrom, start, stop, CASE h % 6 WHEN 0 THEN 'DEL' WHEN 1 THEN 'DUP' WHEN 2 THEN 'WT' WHEN 3 THEN 'DELDUP' WHEN 4 THEN 'DEL' ELSE 'TOO_SMALL' END AS assessment FROM iv)"""
+
+
+def _ro95(c, s, e):
+    return f"(coalesce(asm.chrom = {c} AND least(asm.stop, {e}) - greatest(asm.start, {s}) > 0 AND least(asm.stop, {e}) - greatest(asm.start, {s}) >= 0.95 * (asm.stop - asm.start) AND least(asm.stop, {e}) - greatest(asm.start, {s}) >= 0.95 * ({e} - {s}), false))"
+
+
+def _pl(k, c, a, b):
+    return f"concat('{k}_', {c}, ':', CAST({a} AS VARCHAR), '-', CAST({b} AS VARCHAR))"
+
+
+_SRC, _OWN, _SNK = ("sc", "s0", "s1"), ("chrom", "pos", "stop"), ("snk.chrom", "snk.start", "snk.stop")
+
+
 @query(
     "retype_by_depth",
-    f"""WITH {_AS}, r AS (SELECT vid, count(*) FILTER (kind IN ('DEL', 'DUP') AND assessment <> 'TOO_SMALL') AS n_cnv, count(*) FILTER (kind IN ('DEL', 'DUP') AND (kind = assessment OR assessment = 'DELDUP')) AS n_ok, count(*) FILTER (kind = 'INV') AS n_inv,
-        max(CASE WHEN kind IN ('DEL', 'DUP') AND (kind = assessment OR assessment = 'DELDUP') THEN kind END) AS k, max(CASE WHEN kind IN ('INS', 'INV') AND assessment IN ('DEL', 'DUP') THEN assessment END) AS o FROM asd GROUP BY vid)
-      SELECT vid, n_cnv, n_ok, CASE WHEN n_cnv > 0 AND n_ok = n_cnv THEN CASE WHEN n_inv > 0 THEN 'KEEP' ELSE k END WHEN n_cnv = 0 AND o IS NOT NULL THEN o WHEN n_cnv = 0 THEN 'KEEP' ELSE 'UNRESOLVED' END AS outcome FROM r""",
+    f"""WITH {_RTI}, j AS (SELECT src.*, asm.kind, asm.assessment AS a, {{'chrom': asm.chrom, 'start': asm.start, 'stop': asm.stop}} AS i, {_ro95('sc', 's0', 's1')} AS ns, {_ro95('src.chrom', 'src.pos', 'src.stop')} AS nw FROM asm JOIN src ON src.vid = asm.vid),
+      n AS (SELECT vid, chrom, svtype, pos, stop, cpx_type AS ct, sc, s0, s1, count(*) FILTER (kind IN ('DEL', 'DUP')) AS nc, count(*) FILTER (kind IN ('DEL', 'DUP') AND a = 'WT') AS nf, count(*) FILTER (kind IN ('DEL', 'DUP') AND (a = kind OR a = 'DELDUP')) AS nv, count(*) FILTER (ns AND a = 'DUP') AS sd, count(*) FILTER (ns AND a <> 'WT') AS sk,
+          min(i) FILTER (NOT ns) AS snk, count(*) FILTER (NOT ns AND a = 'DEL') AS kd, count(*) FILTER (nw AND a = 'DEL') AS od, count(*) FILTER (nw AND a = 'DUP') AS ou, min(i) FILTER (NOT nw) AS rst, count(*) FILTER (NOT nw AND a = 'DEL') AS rd, count(*) FILTER (NOT nw AND a = 'WT') AS rw FROM j GROUP BY ALL),
+      m AS (SELECT *, coalesce(snk.stop - snk.start >= 150 AND kd > 0, false) AS gone, stop - pos >= 150 AND od > 0 AS cut, CASE WHEN ct = 'DUP5/INS3' THEN s0 ELSE pos END AS lo, CASE WHEN ct = 'DUP5/INS3' THEN stop ELSE s1 END AS hi, coalesce(rst.stop - rst.start >= 150, false) AS big FROM n),
+      m2 AS (SELECT *, CASE WHEN least(hi, pos) > lo THEN lo WHEN hi > stop THEN greatest(lo, stop) END AS l0, CASE WHEN least(hi, pos) > lo THEN least(hi, pos) WHEN hi > stop THEN hi END AS l1 FROM m),
+      r AS (SELECT *, CASE WHEN svtype = 'CPX' THEN CASE WHEN nc = 0 THEN 'K1' WHEN nf > 0 THEN 'U1' WHEN nv > 0 THEN 'K2' ELSE 'K3' END
+          WHEN svtype = 'INS' AND ct IN ('INS_A2B', 'INS_B2A', 'CTX_INS_A2B', 'CTX_INS_B2A', 'CTX_INV_INS_A2B', 'CTX_INV_INS_B2A') THEN CASE WHEN s0 IS NULL THEN 'S1' WHEN sd > 0 AND gone THEN 'R1' WHEN sd > 0 THEN 'R2' WHEN gone THEN 'R3' ELSE 'K4' END
+          WHEN svtype = 'INS' AND ct IN ('DUP5/INS3', 'DUP3/INS5') THEN CASE WHEN sk = 0 THEN 'U2' WHEN hi - lo < 1000000 AND cut THEN 'R4' WHEN hi - lo < 1000000 THEN 'R5' WHEN cut THEN 'R6' ELSE 'R7' END
+          WHEN svtype = 'INS' THEN CASE WHEN big AND rd > 0 THEN 'R8' WHEN big AND rw > 0 AND rst.stop - rst.start >= 1000 THEN 'U3' ELSE 'K5' END
+          WHEN svtype = 'BND' AND ct IS NOT NULL THEN CASE WHEN ou > 0 THEN 'R9' ELSE 'K6' END ELSE 'K7' END AS x FROM m2)
+      SELECT vid, CASE substr(x, 1, 1) WHEN 'K' THEN 'KEEP' WHEN 'U' THEN 'UNRESOLVED' WHEN 'S' THEN 'SKIP' ELSE 'RECLASSIFY' END AS action,
+        CASE x WHEN 'K1' THEN 'NO_PREDICTED_CNV_INTERVALS' WHEN 'U1' THEN 'AT_LEAST_ONE_CNV_INTERVAL_FAILED' WHEN 'K2' THEN 'AT_LEAST_ONE_CNV_VALIDATED' WHEN 'K3' THEN 'NO_CNVS_LARGER_THAN_MIN_SIZE' WHEN 'S1' THEN 'NO_SOURCE_INTERVAL_IN_CURRENT_SHARD' WHEN 'R1' THEN 'DISPERSED_DUPLICATION_W_INSERT_SITE_DEL' WHEN 'R2' THEN 'DISPERSED_DUPLICATION' WHEN 'R3' THEN 'INSERT_SITE_DEL'
+          WHEN 'K4' THEN 'NON_DUPLICATED_INSERTION' WHEN 'U2' THEN 'PREDICTED_DUP_INTERVAL_FAILED_GT' WHEN 'R4' THEN 'DUP_FLANKED_INVERSION_WITH_DEL' WHEN 'R5' THEN 'DUP_FLANKED_INVERSION' WHEN 'R6' THEN 'INVERTED_DISPERSED_DUPLICATION_WITH_DELETION' WHEN 'R7' THEN 'INVERTED_DISPERSED_DUPLICATION' WHEN 'R8' THEN 'INSERT_SITE_DEL' WHEN 'U3' THEN 'PREDICTED_LARGE_SINK_DEL_INTERVAL_FAILED_GT'
+          WHEN 'K5' THEN 'CANONICAL_INS_NO_SINK_DELETION' WHEN 'R9' THEN 'PALINDROMIC_INVERTED_DUPLICATION' WHEN 'K6' THEN 'DID_NOT_RESOLVE_AS_piDUP' ELSE 'IRRELEVANT_SV_TYPE' END AS reason,
+        CASE WHEN x LIKE 'R%' THEN 'CPX' ELSE svtype END AS svtype,
+        CASE x WHEN 'R1' THEN 'dDUP_iDEL' WHEN 'R2' THEN 'dDUP' WHEN 'R3' THEN 'INS_iDEL' WHEN 'R4' THEN CASE ct WHEN 'DUP5/INS3' THEN 'dupINVdel' ELSE 'delINVdup' END WHEN 'R5' THEN CASE ct WHEN 'DUP5/INS3' THEN 'dupINV' ELSE 'INVdup' END WHEN 'R6' THEN 'dDUP_iDEL' WHEN 'R7' THEN 'dDUP' WHEN 'R8' THEN 'INS_iDEL' WHEN 'R9' THEN CASE WHEN ends_with(ct, '--') THEN 'piDUP_FR' ELSE 'piDUP_RF' END ELSE ct END AS cpx_type,
+        CASE x WHEN 'R1' THEN concat({_pl('DUP', *_SRC)}, ',', {_pl('DEL', *_SNK)}) WHEN 'R2' THEN {_pl('DUP', *_SRC)} WHEN 'R3' THEN {_pl('DEL', *_SNK)}
+          WHEN 'R4' THEN CASE ct WHEN 'DUP5/INS3' THEN concat({_pl('DUP', *_SRC)}, ',', CASE WHEN l0 IS NULL THEN 'INV_' ELSE {_pl('INV', 'chrom', 'l0', 'l1')} END, ',', {_pl('DEL', *_OWN)}) ELSE concat({_pl('DEL', *_OWN)}, ',', CASE WHEN l0 IS NULL THEN 'INV_' ELSE {_pl('INV', 'chrom', 'l0', 'l1')} END, ',', {_pl('DUP', *_SRC)}) END
+          WHEN 'R5' THEN CASE ct WHEN 'DUP5/INS3' THEN concat({_pl('DUP', *_SRC)}, ',', {_pl('INV', 'chrom', 'lo', 'hi')}) ELSE concat({_pl('INV', 'chrom', 'lo', 'hi')}, ',', {_pl('DUP', *_SRC)}) END
+          WHEN 'R6' THEN concat({_pl('DUP', *_SRC)}, ',', {_pl('INV', *_SRC)}, ',', {_pl('DEL', *_OWN)}) WHEN 'R7' THEN CASE ct WHEN 'DUP5/INS3' THEN concat({_pl('DUP', *_SRC)}, ',', {_pl('INV', *_SRC)}) ELSE concat({_pl('INV', *_SRC)}, ',', {_pl('DUP', *_SRC)}) END
+          WHEN 'R8' THEN {_pl('DEL', *_OWN)} WHEN 'R9' THEN concat({_pl('DUP', *_OWN)}, ',', {_pl('INV', *_OWN)}) END AS cpx_intervals,
+        CASE WHEN x IN ('R1', 'R3') THEN s1 - s0 + snk.stop - snk.start WHEN x IN ('R4', 'R5') THEN hi - lo WHEN x = 'R6' THEN s1 - s0 + stop - pos WHEN x = 'R7' THEN s1 - s0 WHEN x = 'R8' THEN coalesce(s1 - s0, 0) + stop - pos WHEN x = 'R9' THEN stop - pos END AS svlen,
+        CASE WHEN x IN ('R1', 'R2', 'R6', 'R7') THEN {_pl('DUP', *_SRC)} WHEN x = 'R3' THEN {_pl('INS', *_SRC)} WHEN x = 'R8' THEN CASE WHEN s0 IS NULL THEN 'INS_' ELSE {_pl('INS', *_SRC)} END END AS source,
+        CASE x WHEN 'R4' THEN least(s0, pos, coalesce(l0, lo)) WHEN 'R5' THEN least(s0, lo) WHEN 'R9' THEN pos END AS pos, CASE x WHEN 'R4' THEN greatest(s1, stop, coalesce(l1, hi)) WHEN 'R5' THEN greatest(s1, hi) WHEN 'R9' THEN stop END AS stop FROM r""",
 )
 def _(t):
-    return rs.retype_by_depth(_assessed(t))
+    return rs.retype_by_depth(t.sql(_RTV), t.sql(f"WITH {_RTI} SELECT * FROM asm"))
 
 
 @query(

@@ -356,3 +356,27 @@ def test_gene_model_files(spark, tmp_path):
     assert {tuple(r) for r in cut} == {(20, 40), (50, 100)}
     assert gm.trim_exons(g).where("feature <> 'exon'").count() == 7 and gm.trim_exons(g.limit(0)).count() == 0
     assert gm.gene_elements(g).where("element = 'UTR'").first()["gene"] == "G1"
+
+
+def test_adjudication_learns_cutoffs_stratum_by_stratum(spark):
+    from helixloom.operators import adjudication as ad
+
+    rnd = random.Random(8)
+    rows = []
+    for i in range(900):
+        real = i % 2 == 0
+        sep = rnd.uniform(0.42, 0.9) if real else rnd.uniform(0.0, 0.14)
+        hi = lambda a, b: rnd.gauss(a if real else b, 0.3)
+        rows.append((f"n{i}", rnd.choice(["chr1", "chr2", "chrX"]), ["DEL", "DUP", "INV"][i % 3], rnd.choice([300, 2000, 8000, 20_000]), i % 5 == 0 and i % 3 < 2, rnd.random() * 0.4, i % 50 == 0, sep,
+                     hi(8, 1), hi(5, 1), hi(6, 1), hi(0.8, 0.1), hi(7, 1), hi(0.7, 0.1), hi(9, 0.5), hi(0.9, 0.2), hi(9, 0.5), hi(0.9, 0.2), hi(9, 0.5), hi(0.9, 0.2)))
+    cols = "name string, chrom string, svtype string, svsize long, is_depth boolean, poor_region_cov double, is_outlier_specific boolean, rd_median_separation double, rd_log_pval double, rd_log_2nd_max_p double, baf_del_loglik double, baf_snp_ratio double, baf_ks_log_pval double, baf_ks_stat double, sr_log_pval double, sr_bg_frac double, pe_log_pval double, pe_bg_frac double, pesr_log_pval double, pesr_bg_frac double"
+    scores, cutoffs = ad.adjudicate(spark.createDataFrame(rows, cols), trees=5, depth=4)
+    cut = {(r["stratum"], r["metric"]): r["cutoff"] for r in cutoffs.collect()}
+    assert {k[0] for k in cut} >= {0, 1, 2, 3} and 0.14 < cut[(3, "rd_median_separation")] <= 0.45
+    got = {r["name"]: r for r in scores.collect()}
+    assert len(got) == 900
+    plain = [r for r in rows if not r[4] and r[3] >= 1000 and r[2] != "INV"]
+    right = sum((got[r[0]]["score"] >= 0.5) == (r[7] > 0.3) for r in plain)
+    assert right > 0.95 * len(plain)
+    assert all(got[r[0]]["rd_prob"] < 0.5 for r in rows if r[4] and r[3] < 5000 and got[r[0]]["rd_prob"] is not None)
+    assert ad.stratum_sizes(spark.createDataFrame(rows, cols).limit(0)).count() == len(ad.STRATA)
