@@ -293,6 +293,8 @@ def fit(train: DataFrame, words: int = WORDS, classes: int = CLASSES, slots: int
 
     pairs = counted(_pairs_of(n_words))
     pairs = write_table(pairs.select(F.shiftright("code", 32).cast("int").alias("before"), F.col("code").bitwiseAND((1 << 32) - 1).cast("int").alias("word"), "n"))
+    # every task of a round sends its own (word, class) sums: no more tasks than the pairs fill
+    pairs = pairs.coalesce(max(1, pairs.count() // CODES + 1))
     cls, trans = exchange(pairs, n_words, classes, growth) if top else (np.zeros(1, np.int64), np.zeros((classes, classes)))
     lp = np.log((trans + 0.1) / (trans.sum(1, keepdims=True) + 0.1 * classes))
     near = counted(_neighbours_of(n_words, cls)).select(F.shiftright("code", 8).cast("int").alias("slot"), F.struct(F.col("code").bitwiseAND(255).cast("int").alias("k"), "n").alias("e"))
@@ -388,7 +390,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **params)
     m = fit(d.where("NOT held_out").select("_t"), **params)
     denominator = m.tokens + m.types + 1
     rows = d.mapInArrow(_score_texts(m, denominator), "word binary, row long, cls byte, own binary")
-    joined = rows.join(m.vocabulary.withColumnRenamed("n", "c"), "word", "left")
+    # a partition's share of the vocabulary is looked up, so that the tokens need no sorting
+    joined = rows.join(m.vocabulary.withColumnRenamed("n", "c").hint("shuffle_hash"), "word", "left")
     unseen = F.element_at(F.array(*[F.lit(float(np.log10(x + 1))) for x in m.once]), F.col("cls").cast("int") + 1)
     token = F.col("own").isNull()
     sums = joined.groupBy("row").agg(
