@@ -380,3 +380,12 @@ def test_adjudication_learns_cutoffs_stratum_by_stratum(spark):
     assert right > 0.9 * len(plain)
     assert all(got[r[0]]["rd_prob"] < 0.5 for r in rows if r[4] and r[3] < 5000 and got[r[0]]["rd_prob"] is not None)
     assert ad.stratum_sizes(spark.createDataFrame(rows, cols).limit(0)).count() == len(ad.STRATA)
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    from helixloom.operators import intervals as iv
+
+    a = spark.createDataFrame([("c", 0, 10, 5)], "chrom string, start long, stop long, pos long")
+    b = spark.createDataFrame([("c", 5, 20, 7)], "chrom string, start long, stop long, at long")
+    for j in (iv.overlap_join(a, b), iv.window_join(a.select(F.col("chrom").alias("_c"), "pos"), b.select("chrom", "at"), [("_c", "chrom")], ("pos", "at"), 3, 3)):
+        assert "BroadcastHashJoin" not in j._jdf.queryExecution().executedPlan().toString() and j.count() == 1
