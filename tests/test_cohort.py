@@ -389,3 +389,24 @@ def test_exploded_sides_are_not_broadcast(spark):
     b = spark.createDataFrame([("c", 5, 20, 7)], "chrom string, start long, stop long, at long")
     for j in (iv.overlap_join(a, b), iv.window_join(a.select(F.col("chrom").alias("_c"), "pos"), b.select("chrom", "at"), [("_c", "chrom")], ("pos", "at"), 3, 3)):
         assert "BroadcastHashJoin" not in j._jdf.queryExecution().executedPlan().toString() and j.count() == 1
+
+
+def test_depth_rows_stay_with_their_event(spark):
+    from helixloom.operators import depth as dp
+
+    events = spark.createDataFrame([("v1", "c", 0, 6000), ("v2", "c", 2000, 3000)], "vid string, chrom string, start long, stop long")
+    cov = {(b, s): 10 * b + k for b in range(6) for k, s in enumerate("xyz") if (b + k) % 4}
+    bins = spark.createDataFrame([("c", b * 1000, b * 1000 + 1000, s, n) for (b, s), n in cov.items()], "chrom string, start long, stop long, sample string, cov long")
+    medians = spark.createDataFrame([("x", 4.0), ("y", 5.0), ("z", 0.0)], "sample string, median_cov double")
+    matrix = dp.depth_matrix(events, bins, medians, medians.union(medians))
+    got = {(r["vid"], r["grp"], r["sample"]): r["depth"] for r in matrix.collect()}
+    by = {"x": 4.0, "y": 5.0, "z": 1.0}
+    want = {("v1", b + 1, s): max(cov.get((b, s), 0), 1) / m for b in range(6) for s, m in by.items()} | {("v2", 1, s): max(cov.get((2, s), 0), 1) / m for s, m in by.items()}
+    assert got == want and matrix.count() == len(want)
+    carriers = spark.createDataFrame([("v1", "x"), ("v1", "x"), ("v2", "z"), (None, "y"), ("v2", None)], "vid string, sample string")
+    inner = dp.inner_bins(matrix, carriers)
+    assert sorted((r["vid"], r["grp"], r["sample"]) for r in inner.where("treat").collect()) == sorted([*[("v1", g, "x") for g in range(2, 6)] * 2, ("v2", 1, "z")])
+    depths = dp.sample_depths(inner)
+    assert {r["sample"]: r["depth"] for r in depths.where("vid = 'v1'").collect()} == {s: sorted(want["v1", g, s] for g in range(2, 6))[1] / 2 + sorted(want["v1", g, s] for g in range(2, 6))[2] / 2 for s in by}
+    # one shuffle of bins by event: the rows of all samples are never dealt again
+    assert "hashpartitioning(sample" not in (plan := depths._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(vid#" in plan
