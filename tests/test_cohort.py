@@ -410,3 +410,17 @@ def test_depth_rows_stay_with_their_event(spark):
     assert {r["sample"]: r["depth"] for r in depths.where("vid = 'v1'").collect()} == {s: sorted(want["v1", g, s] for g in range(2, 6))[1] / 2 + sorted(want["v1", g, s] for g in range(2, 6))[2] / 2 for s in by}
     # one shuffle of bins by event: the rows of all samples are never dealt again
     assert "hashpartitioning(sample" not in (plan := depths._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(vid#" in plan
+
+
+def test_split_counts_sum_only_shared_names(spark):
+    from helixloom.operators import evidence as ev
+
+    sites = spark.createDataFrame([("a", "c", "c", 100, 400, "+-"), ("b", "c", "c", 100, 400, "+-"), ("b", "c", "d", 110, 30, "++"), (None, "c", "c", 90, 95, "+-")], "vid string, chrom string, chr2 string, pos long, stop long, strands string")
+    reads = [("c", 105, "right", "x", 2), ("c", 105, "right", "x", 3), ("c", 105, "right", "y", 1), ("c", 395, "left", "x", 7), ("d", 30, "right", "y", 4), ("c", 105, "left", "x", 9), ("c", 0, "right", "x", 9)]
+    splits = spark.createDataFrame(reads, "chrom string, pos long, clip string, sample string, cnt long")
+    d = ev.split_counts(sites, splits, 20)
+    got = sorted(map(str, map(tuple, d.select("vid", "coord", "pos", "sample", "cnt").collect())))
+    want = [("a", "posA", 105, "x", 5), ("a", "posA", 105, "y", 1), ("a", "posB", 395, "x", 7), ("b", "posA", 105, "x", 10), ("b", "posA", 105, "y", 2), ("b", "posB", 395, "x", 7), ("b", "posB", 30, "y", 4),
+            (None, "posA", 105, "x", 5), (None, "posA", 105, "y", 1), (None, "posB", 105, "x", 9)]
+    assert got == sorted(map(str, want))
+    assert d._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # the pairs of names found once are not dealt again
