@@ -424,3 +424,15 @@ def test_split_counts_sum_only_shared_names(spark):
             (None, "posA", 105, "x", 5), (None, "posA", 105, "y", 1), (None, "posB", 105, "x", 9)]
     assert got == sorted(map(str, want))
     assert d._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # the pairs of names found once are not dealt again
+
+
+def test_matching_stops_at_the_first_partner(spark):
+    from helixloom.operators import compare as cp
+
+    rnd = random.Random(4)
+    rows = [[(f"{x}{i % 90}", "c", "DEL", s := rnd.randrange(2000), s + rnd.randrange(0, 400)) for i in range(100)] for x in "ab"]
+    a, b = (spark.createDataFrame(r, "name string, chrom string, svtype string, start long, stop long") for r in rows)
+    flags = cp.match_flags(a, b)
+    hit = {x[0] for x in rows[0] for y in rows[1] if (o := min(x[4], y[4]) - max(x[3], y[3])) > 0 and o >= 0.5 * max(x[4] - x[3], y[4] - y[3])}
+    assert sorted((r["name"], r["start"], r["matched"]) for r in flags.collect()) == sorted((x[0], x[3], x[0] in hit) for x in rows[0])
+    assert "LeftSemi" in flags._jdf.queryExecution().executedPlan().toString()  # not all pairs
