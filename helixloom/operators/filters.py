@@ -193,7 +193,8 @@ def flag_samples(sites, bad: DataFrame, label: str) -> DataFrame:
 
 def depth_without_panel_match(calls, panel, frac: float = 0.5) -> DataFrame:
     """Depth calls with no reciprocal match of the same type in the reference panel."""
-    hit = reciprocal_join(calls, panel, frac).select(F.col("name_a").alias("name")).distinct()
+    geo = panel.select("chrom", "svtype", "start", "stop").distinct()  # one match is enough
+    hit = reciprocal_join(calls, geo, frac, how="left_semi").select(F.col("name_a").alias("name")).distinct()
     return calls.join(hit, "name", "left_anti")
 
 

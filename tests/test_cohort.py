@@ -436,3 +436,14 @@ def test_matching_stops_at_the_first_partner(spark):
     hit = {x[0] for x in rows[0] for y in rows[1] if (o := min(x[4], y[4]) - max(x[3], y[3])) > 0 and o >= 0.5 * max(x[4] - x[3], y[4] - y[3])}
     assert sorted((r["name"], r["start"], r["matched"]) for r in flags.collect()) == sorted((x[0], x[3], x[0] in hit) for x in rows[0])
     assert "LeftSemi" in flags._jdf.queryExecution().executedPlan().toString()  # not all pairs
+
+
+def test_panel_match_stops_at_the_first_partner(spark):
+    from helixloom.operators import filters as fl
+
+    schema = "name string, chrom string, svtype string, start long, stop long"
+    calls = spark.createDataFrame([("a", "c", "DEL", 0, 100), ("a", "c", "DEL", 5000, 5100), ("b", "c", "DEL", 900, 1000), ("d", "c", "DUP", 0, 100), (None, "c", "DEL", 0, 100)], schema)
+    panel = spark.createDataFrame([("p", "c", "DEL", 10, 110)] * 2 + [("q", "c", "DEL", 960, 1060), ("r", None, "DUP", 0, 100)], schema)
+    d = fl.depth_without_panel_match(calls, panel)
+    assert sorted(str(r["name"]) for r in d.collect()) == ["None", "b", "d"]
+    assert "LeftSemi" in d._jdf.queryExecution().executedPlan().toString()
