@@ -447,3 +447,29 @@ def test_panel_match_stops_at_the_first_partner(spark):
     d = fl.depth_without_panel_match(calls, panel)
     assert sorted(str(r["name"]) for r in d.collect()) == ["None", "b", "d"]
     assert "LeftSemi" in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_carrier_lists_keep_a_pair_one_row(spark):
+    from helixloom.operators import cluster as cl
+
+    carriers = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("a", None), ("b", "y"), ("b", "z"), (None, "x"), ("d", None)], "vid string, sample string")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "a"), ("a", "d"), ("a", "e"), (None, "a"), ("e", "f")], "vid_a string, vid_b string")
+    d = cl.carrier_overlap(pairs, carriers)
+    got = sorted(str((r["vid_a"], r["vid_b"], r["n_a"], r["n_b"], r["n_both"])) for r in d.collect())
+    want = [("a", "b", 3, 2, 1), ("a", "b", 3, 2, 1), ("b", "a", 2, 3, 1), ("a", "d", 3, 1, 0), ("a", "e", 3, 0, 0), (None, "a", 0, 3, 0), ("e", "f", 0, 0, 0)]
+    assert got == sorted(map(str, want)) and dict(d.dtypes)["n_both"] == "bigint"
+    assert "vid_b, _s" not in (plan := d._jdf.queryExecution().optimizedPlan().toString()) and "array_intersect" in plan  # no row per pair and carrier
+
+
+def test_sharing_pairs_compares_carriers_within_the_join(spark):
+    from helixloom.operators import cluster as cl
+
+    rnd = random.Random(5)
+    sets = {f"v{i}": {f"s{rnd.randrange(9)}" for _ in range(rnd.randrange(7))} for i in range(40)}
+    ends = [(v, f"e{rnd.randrange(5)}") for v in sets for _ in range(2)]
+    carriers = spark.createDataFrame([(v, s) for v, x in sets.items() for s in [*x, *x]], "vid string, sample string")
+    d = cl.sharing_pairs(spark.createDataFrame(ends, "vid string, e string"), carriers, 0.5)
+    want = {(v, w, len(sets[v] & sets[w])) for v, e in ends for w, f in ends if e == f and v < w and sets[v] and sets[w] and 2 * len(sets[v] & sets[w]) >= max(len(sets[v]), len(sets[w]))}
+    assert sorted(map(tuple, d.collect())) == sorted(want) and len(want) > 5
+    join = next(x for x in d._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+    assert "array_intersect" in join
