@@ -473,3 +473,20 @@ def test_sharing_pairs_compares_carriers_within_the_join(spark):
     assert sorted(map(tuple, d.collect())) == sorted(want) and len(want) > 5
     join = next(x for x in d._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
     assert "array_intersect" in join
+
+
+def test_cnv_revision_takes_the_last_wide_call(spark):
+    from helixloom.operators import cleanup as cu
+
+    rnd = random.Random(6)
+    sites = [(f"v{i:02d}", "c", rnd.choice(["DEL", "DUP", "INV"]), s := rnd.randrange(1500), s + rnd.randrange(1, 200)) for i in range(80)]
+    geno = [(v[0], s, 0, rnd.choice([0, 1]), rnd.choice([1, 2, 2, 3]), rnd.randrange(99)) for v in sites for s in "xyz" if rnd.random() < 0.9]
+    d = cu.overlapping_cnv_revisions(spark.createDataFrame(sites, "vid string, chrom string, svtype string, pos long, stop long"), spark.createDataFrame(geno, "vid string, sample string, a1 int, a2 int, rd_cn int, rd_gq int"))
+    want = []
+    for v, s, _, a2, cn, gq in geno:
+        n = next(x for x in sites if x[0] == v)
+        wide = [(w[3], w[0], w[2], g[4]) for w in sites for g in geno if g[0] == w[0] and g[1] == s and g[3] and w[0] != v and w[4] - w[3] >= n[4] - n[3] and 2 * (min(w[4], n[4]) - max(w[3], n[3]) + 1) >= n[4] - n[3] + 1]
+        if not a2 and cn == 2 and wide and max(wide)[3] == {"DUP": 3, "DEL": 1}.get(max(wide)[2]):
+            want.append((v, s, gq))
+    assert sorted(map(tuple, d.collect())) == sorted(want) and want
+    assert "max_by" not in d._jdf.queryExecution().optimizedPlan().toString()  # a number leaves the join, not a row of each pair
