@@ -475,6 +475,19 @@ def test_sharing_pairs_compares_carriers_within_the_join(spark):
     assert "array_intersect" in join
 
 
+def test_depth_tasks_follow_the_matrix(spark, monkeypatch):
+    from helixloom.operators import depth as dp
+
+    monkeypatch.setattr(dp, "TASK_ROWS", 10)
+    events = spark.createDataFrame([(f"v{i}", "c", 1000 * i, 1000 * i + 4000) for i in range(9)], "vid string, chrom string, start long, stop long")
+    bins = spark.createDataFrame([("c", b * 1000, b * 1000 + 1000, s, b + 1) for b in range(20) for s in "xyz"], "chrom string, start long, stop long, sample string, cov long")
+    medians = spark.createDataFrame([(s, 2.0) for s in "xyz"], "sample string, median_cov double")
+    matrix = dp.depth_matrix(events, bins, medians, medians)
+    # 9 events of 4 bins and 3 samples are 108 rows: 11 tasks of 10 rows
+    assert "hashpartitioning(vid" in (plan := matrix._jdf.queryExecution().executedPlan().toString()) and ", 11), REPARTITION_BY_NUM" in plan
+    assert {(r["vid"], r["grp"]): r["depth"] for r in matrix.where("sample = 'x'").collect()} == {(f"v{i}", g): (i + g) / 2 for i in range(9) for g in range(1, 5)}
+
+
 def test_cnv_revision_takes_the_last_wide_call(spark):
     from helixloom.operators import cleanup as cu
 
