@@ -68,6 +68,9 @@ def cuts(data: bytes) -> list[int]:
     return found + [n]
 
 
+Entry = tuple[tuple[int, ...], bytes, bytes]  # tuples of plain values, which the garbage collector doesn't visit
+
+
 class Encoder:
     """A tokenizer with a bounded memo of white-space-delimited pieces."""
 
@@ -90,8 +93,9 @@ class Encoder:
         self.kind = np.uint16 if size < 1 << 16 else np.uint32
         self.id_text = [str(i).encode() for i in range(size)]
         self.token = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
-        self.memo: dict[bytes, tuple[list[int], bytes, bytes]] = {}
-        self.words: dict[str, tuple[list[int], bytes, bytes]] = {}
+        self.memo: dict[bytes, Entry] = {}
+        self.words: dict[str, Entry] = {}
+        self.older, self.older_words = {}, {}  # what the memos held before they were last full; entries still in use come back from there
         self.alphabet, self.model = byte_alphabet(), self.tokenizer.model
         probes = ["The", "thereonhe,", "ÉÀüß!!", "x.", "ŒǅȺ", "a###", "queeux&&&", "(b)"]
         self.plain = all(self._plain_ids(w) in (None, self.ids(w.encode())) for w in probes)  # does the short way give the tokenizer's ids?
@@ -102,27 +106,34 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def entry(self, ids: list[int]) -> tuple[list[int], bytes, bytes]:
-        return ids, b" ".join([self.id_text[i] for i in ids]), b" ".join([self.token[i] for i in ids])
+    def entry(self, ids: list[int]) -> Entry:
+        if len(ids) == 1:
+            return tuple(ids), self.id_text[ids[0]], self.token[ids[0]]
+        return tuple(ids), b" ".join([self.id_text[i] for i in ids]), b" ".join([self.token[i] for i in ids])
 
     def ids(self, text: bytes) -> list[int]:
         return self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
 
-    def _word(self, word: str) -> tuple[list[int], bytes, bytes]:
+    def _word(self, word: str) -> Entry:
         found = self.words.get(word)
         if found is None:
             if len(self.words) >= MEMO:
-                self.words.clear()
-            spelled = word.encode().decode("latin-1").translate(self.alphabet)
-            found = self.words[word] = self.entry([t.id for t in self.model.tokenize(spelled)])
+                self.older_words, self.words = self.words, {}
+            found = self.older_words.get(word)
+            if found is None:
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)  # visible ASCII is spelled as it is
+                found = self.entry([t.id for t in self.model.tokenize(spelled)])
+            self.words[word] = found
         return found
 
     def _plain_ids(self, piece: str) -> list[int] | None:
         e = self._plain_entry(piece)
-        return e[0] if e else None
+        return list(e[0]) if e else None
 
-    def _plain_entry(self, piece: str) -> tuple[list[int], bytes, bytes] | None:
+    def _plain_entry(self, piece: str) -> Entry | None:
         """A piece of letters and marks straight by the model, without the tokenizer's general splitting; None for others."""
+        if piece.isascii() and piece.isalpha():
+            return self._word(piece.lower())
         m = _PLAIN.fullmatch(piece)
         if m is None:
             return None
@@ -132,21 +143,23 @@ class Encoder:
         tail = self._word(m[2])
         return head[0] + tail[0], head[1] + b" " + tail[1], head[2] + b" " + tail[2]
 
-    def pieces(self, data: bytes) -> list[tuple[list[int], bytes, bytes]]:
+    def pieces(self, data: bytes) -> list[Entry]:
         """(ids, ids as text, tokens as text) of each piece of a text."""
         words, memo = data.split(), self.memo
         found = list(map(memo.get, words))
         if None in found:
             new = list({w for w, e in zip(words, found) if e is None})
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-            fresh = {w: e for w in new if (e := self._plain_entry(w.decode("utf-8", "replace")))} if self.plain else {}
+            older = self.older
+            fresh = {w: e for w in new if (e := older.get(w) or self.plain and self._plain_entry(w.decode("utf-8", "replace")))}
             rest = [w for w in new if w not in fresh]
             for k in range(0, len(rest), 4096):
                 part = rest[k:k + 4096]
                 for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
                     fresh[w] = self.entry(e.ids)
-            memo.update(fresh)
+            if len(memo) + len(fresh) > MEMO:
+                self.older, self.memo = memo, fresh
+            else:
+                memo.update(fresh)
             found = [e or fresh[w] for w, e in zip(words, found)]
         return found
 
@@ -227,7 +240,7 @@ def _encode_chunks(path):
     return run
 
 
-def _stored(enc: Encoder, ids: bytes, counts: bytes) -> list[tuple[list[int], bytes, bytes]]:
+def _stored(enc: Encoder, ids: bytes, counts: bytes) -> list[Entry]:
     flat, out, s = np.frombuffer(ids, enc.kind).tolist(), [], 0
     for n in np.frombuffer(counts, np.uint32).tolist():
         out.append(enc.entry(flat[s:s + n]))

@@ -249,3 +249,19 @@ def test_licences(spark):
     got = {(r["doc_id"], r["paragraph"], r["family"]) for r in licences.scan(docs(spark, rows)).where("confirmed").collect()}
     assert got == {(1000, 1, "MIT"), (1001, 0, "CC-BY-NC"), (1002, 0, "GPL"), (1003, 2, "Apache-2.0"), (None, 0, "MIT")}
     assert licences.scan(docs(spark, [])).count() == 0
+
+
+def test_bpe_memo_keeps_what_is_in_use(monkeypatch):
+    from helixloom.llm import bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = bpe.Encoder(path)
+    texts = [b"the cat, the dog 7th \xc3\xa9t\xc3\xa9 " + b" ".join(b"w%s" % bytes([97 + i % 26, 97 + i // 26, c]) for c in b"xyz") for i in range(60)]
+    want = [plain.ids(t) for t in texts]
+    monkeypatch.setattr(bpe, "MEMO", 16)
+    enc, asked = bpe.Encoder(path), []
+    known = enc._plain_entry
+    enc._plain_entry = lambda w: asked.append(w) or known(w)
+    assert [[i for p in enc.pieces(t) for i in p[0]] for t in texts] == want
+    assert asked.count("the") == 1  # clearing the whole memo forgets it each time
+    assert len(enc.memo) <= 16 + 10 and len(enc.words) <= 16
