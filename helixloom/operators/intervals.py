@@ -8,7 +8,9 @@ Intervals are half-open ``[start, stop)``. Three rules keep every operator scala
 * ordered scans (merging, nearest) run per genome tile over *distinct* positions, and only
   one summary row per tile is scanned per contig, so no task ever holds a whole contig and
   any number of copies of one position is collapsed by map-side aggregation first;
-* no side is broadcast by hint: Catalyst and AQE do that when the measured size allows.
+* no side is broadcast by hint: Catalyst and AQE do that when the measured size allows;
+* numbers of overlaps and overlapping bases need no pairs: they are differences of running
+  totals over distinct positions (``overlap_totals``).
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import reciprocal_ok, tile_of
+from ..session import settle
 
 #: bin widths of the three length classes; the last one also takes anything longer
 LEVEL_WIDTHS = (1 << 15, 1 << 20, 1 << 25)
@@ -72,13 +75,21 @@ def overlap_join(
     suffixes=("_a", "_b"),
     start="start",
     stop="stop",
+    totals: bool = False,
 ) -> DataFrame:
     """All pairs of overlapping intervals. Columns of each side get that side's suffix.
 
     ``pad`` widens the left interval on both sides. ``condition`` is a residual predicate
-    over the suffixed columns. A hot bin is split at run time by the AQE skew join.
+    over the suffixed columns. A hot bin is split at run time by the AQE skew join. With
+    ``totals`` the partners of a left row are not listed: the row comes once, with their
+    number ``n`` and the sum of their overlaps ``bases``, both with the right side's suffix.
     """
     sa, sb = suffixes
+    if totals:
+        if pad or condition is not None:
+            raise ValueError("totals are of plain overlaps, without padding or condition")
+        d = overlap_totals(left, right, by, start, stop, "n" + sb, "bases" + sb)
+        return d.where(F.col("n" + sb) > 0).withColumnsRenamed({c: c + sa for c in left.columns})
     a = left.select([F.col(c).alias(c + sa) for c in left.columns])
     b = right.select([F.col(c).alias(c + sb) for c in right.columns])
     a = a.withColumn("_s", F.col(start + sa) - pad).withColumn("_e", F.col(stop + sa) + pad)
@@ -111,15 +122,72 @@ def overlap_semi(left, right, key: list[str], anti: bool = False, by=["chrom"],
 
 
 def overlap_left_join(left, right, key: list[str], **kw) -> DataFrame:
-    """Left outer form: unmatched left rows appear once with nulls on the right."""
+    """Left outer form: unmatched left rows appear once with nulls on the right; with ``totals`` every left row appears once, unmatched
+    ones with zeros."""
+    sa, sb = kw.get("suffixes", ("_a", "_b"))
+    if kw.get("totals"):
+        if set(kw) - {"by", "suffixes", "start", "stop", "totals"}:
+            raise ValueError("totals are of plain overlaps, without padding or condition")
+        d = overlap_totals(left, right, kw.get("by", ["chrom"]), kw.get("start", "start"), kw.get("stop", "stop"), "n" + sb, "bases" + sb)
+        return d.withColumnsRenamed({c: c + sa for c in left.columns})
     pairs = overlap_join(left, right, **kw)
-    sa = kw.get("suffixes", ("_a", "_b"))[0]
     rest = left.select([F.col(c).alias(c + sa) for c in left.columns]).join(
         pairs.select(*[k + sa for k in key]).distinct(), [k + sa for k in key], "left_anti"
     )
     return pairs.unionByName(rest, allowMissingColumns=True)
 
 
+def _totals_at(points: DataFrame, rows: DataFrame, by: list[str], start: str, stop: str, tile: int = 1 << 16) -> DataFrame:
+    """For each position _x of ``points`` and ``rows``: _before (rows that start before it), _ended (rows that end at or before it),
+    _empty (empty rows on it) and _cov (bases of all rows before it). Running totals per tile; tiles exchange one row each."""
+    x, zero, one = F.col("_x"), F.lit(0).cast("long"), F.lit(1).cast("long")
+    empty = (F.col(start) == F.col(stop)).cast("long")
+    ends = rows.select(*by, F.inline(F.array(
+        F.struct(F.col(start).cast("long").alias("_x"), one.alias("_s"), zero.alias("_e"), empty.alias("_empty")),
+        F.struct(F.col(stop).cast("long").alias("_x"), zero.alias("_s"), one.alias("_e"), zero.alias("_empty")))))
+    u = points.select(*by, x.cast("long").alias("_x"), zero.alias("_s"), zero.alias("_e"), zero.alias("_empty")).unionByName(ends)
+    u = u.groupBy(*by, "_x").agg(*[F.sum(c).alias(c) for c in ("_s", "_e", "_empty")])
+    u = u.withColumn("_t", tile_of("_x", tile)).withColumn("_o", x * (F.col("_s") - F.col("_e")))
+    w_by = Window.partitionBy(*by).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    w_tile = Window.partitionBy(*by, "_t").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    carry = u.groupBy(*by, "_t").agg(*[F.sum(c).alias("_c" + c) for c in ("_s", "_e", "_o")])
+    carry = carry.select(*by, "_t", *[F.coalesce(F.sum("_c" + c).over(w_by), zero).alias("_c" + c) for c in ("_s", "_e", "_o")])
+    u = u.join(carry, [*by, "_t"])
+    s, e, o = (F.col("_c" + c) + F.sum(c).over(w_tile) for c in ("_s", "_e", "_o"))
+    return u.select(*by, "_x", (s - F.col("_s")).alias("_before"), e.alias("_ended"), "_empty", (x * (s - e) - o).alias("_cov"))
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, by=["chrom"], start="start", stop="stop", n="n_over", bases="bases") -> DataFrame:
+    """``left`` plus the number of overlapping rows of ``right`` and the sum of their overlaps, without forming a pair.
+
+    Rows that start before the interval's end, less those that end by its start; bases likewise. Work grows with the rows, however
+    many pairs they would make. Intervals that end before they start have no such difference, so those alone are joined.
+    """
+    known = F.lit(True)
+    for c in (*by, start, stop):
+        known = known & F.col(c).isNotNull()
+    turned = F.col(start) > F.col(stop)
+    a, b = left.where(known), right.where(known).select(*by, start, stop)
+    ends = a.where(~turned).select(*by, F.explode(F.array(start, stop)).alias("_x"))
+    at = settle(_totals_at(ends, b.where(~turned), by, start, stop))  # read at both ends
+    first = at.select(*by, F.col("_x").alias(start), "_ended", "_empty", F.col("_cov").alias("_c0"))
+    last = at.select(*by, F.col("_x").alias(stop), "_before", F.col("_cov").alias("_c1"))
+    zero = F.lit(0).cast("long")
+    d = left.join(first, [*by, start], "left").join(last, [*by, stop], "left")
+    plain = F.when(~turned, F.col("_before") - F.col("_ended") + F.when(F.col(start) == F.col(stop), F.col("_empty")).otherwise(zero))
+    d = d.withColumn(n, F.coalesce(plain, zero)).withColumn(bases, F.coalesce(F.when(~turned, F.col("_c1") - F.col("_c0")), zero))
+    geo, odd = a.select(*by, start, stop), None
+    for few, x, y in ((geo, geo.where(turned), b), (b, geo.where(~turned), b.where(turned))):
+        if not few.where(turned).isEmpty():
+            p = overlap_join(x.distinct(), y, by=by, start=start, stop=stop)
+            odd = p if odd is None else odd.unionByName(p)
+    if odd is not None:
+        ov = F.least(F.col(stop + "_a"), F.col(stop + "_b")) - F.greatest(F.col(start + "_a"), F.col(start + "_b"))
+        odd = odd.groupBy(*[F.col(c + "_a").alias(c) for c in (*by, start, stop)]).agg(F.count("*").alias("_n"), F.sum(ov).alias("_v"))
+        d = d.join(odd, [*by, start, stop], "left").withColumn(n, F.col(n) + F.coalesce("_n", zero)).withColumn(bases, F.col(bases) + F.coalesce("_v", zero))
+    return d.select(*left.columns, n, bases)
+
+
 def reciprocal_join(left, right, frac: float, by=["chrom", "svtype"], condition=None, suffixes=("_a", "_b"), start="start", stop="stop", how: str = "inner") -> DataFrame:
     """Pairs whose overlap covers at least ``frac`` of both intervals (frac > 0).
 

@@ -24,8 +24,8 @@ def _(t):
        LEFT JOIN fx_regions r ON c.chrom = r.chrom AND c.start < r.stop AND r.start < c.stop GROUP BY c.name""",
 )
 def _(t):
-    p = iv.overlap_left_join(t.calls, t.regions, key=["name"])
-    return p.groupBy(F.col("name_a").alias("name")).agg(F.count("start_b").alias("n_regions"))
+    p = iv.overlap_left_join(t.calls, t.regions, key=["name"], totals=True)
+    return p.groupBy(F.col("name_a").alias("name")).agg(F.sum("n_b").alias("n_regions"))
 
 
 @query(

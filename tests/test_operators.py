@@ -257,3 +257,33 @@ def test_bin_counts_on_a_stream(spark, tmp_path):
     q = stream_bin_counts(stream).writeStream.outputMode("complete").format("memory").queryName("bins").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["bin"], r["cov"]) for r in spark.table("bins").collect()} == {(0, 1), (1, 2)}
+
+
+def test_overlap_totals_against_pairs(spark):
+    rng = random.Random(11)
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            s = rng.choice([None, *range(40)]) if i % 9 == 0 else rng.randrange(200_000) if i % 2 else rng.randrange(40)
+            e = None if s is None or i % 23 == 0 else s + rng.choice([-3, 0, 0, 1, 5, 30, 70_000])
+            out.append((f"n{i // 2}", rng.choice(["c1", "c2", None]), s, e))
+        return out
+
+    a, b = rows(300), rows(250)
+    hit = lambda x, y: None not in (*x[1:], *y[1:]) and x[1] == y[1] and x[2] < y[3] and y[2] < x[3]
+    want = sorted(((*x, sum(hit(x, y) for y in b), sum(min(x[3], y[3]) - max(x[2], y[2]) for y in b if hit(x, y))) for x in a), key=str)
+    da, db = (spark.createDataFrame(r, "name string, chrom string, start long, stop long") for r in (a, b))
+    assert sorted(map(tuple, iv.overlap_totals(da, db).collect()), key=str) == want
+    assert sorted(map(tuple, iv.overlap_left_join(da, db, key=["name"], totals=True).collect()), key=str) == want
+    inner = iv.overlap_join(da, db, totals=True)
+    assert inner.columns == ["name_a", "chrom_a", "start_a", "stop_a", "n_b", "bases_b"]
+    assert sorted(map(tuple, inner.collect()), key=str) == [x for x in want if x[4]]
+    assert sum(x[4] for x in want) == iv.overlap_join(da, db).count() > 1000
+
+
+def test_overlap_totals_form_no_pairs(spark):
+    n = 20_000  # 4 * 10^8 pairs
+    d = spark.range(n).select(F.concat(F.lit("n"), "id").alias("name"), F.lit("c1").alias("chrom"), F.lit(0).cast("long").alias("start"), (F.col("id") + n).alias("stop"))
+    r = iv.overlap_left_join(d, d, key=["name"], totals=True).agg(F.sum("n_b"), F.sum("bases_b")).first()
+    assert r[0] == n * n and r[1] == sum((2 * (n - 1 - k) + 1) * (n + k) for k in range(n))
