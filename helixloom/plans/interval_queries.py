@@ -13,9 +13,8 @@ from .registry import query
        FROM fx_calls c JOIN fx_regions r ON c.chrom = r.chrom AND c.start < r.stop AND r.start < c.stop GROUP BY c.name""",
 )
 def _(t):
-    p = iv.overlap_join(t.calls, t.regions)
-    ov = F.least("stop_a", "stop_b") - F.greatest("start_a", "start_b")
-    return p.groupBy(F.col("name_a").alias("name")).agg(F.count("*").alias("n_regions"), F.sum(ov).alias("bases"))
+    p = iv.overlap_join(t.calls, t.regions, totals=True)
+    return p.groupBy(F.col("name_a").alias("name")).agg(F.sum("n_b").alias("n_regions"), F.sum("bases_b").alias("bases"))
 
 
 @query(
