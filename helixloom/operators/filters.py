@@ -209,9 +209,8 @@ def demote_without_depth(sites, raw_depth, min_size: int = 5000, min_cover: floa
 
 def panel_covered(calls, panel, min_cover: float = 0.5) -> DataFrame:
     """Calls whose span is mostly covered by panel calls with the same allele count (summed overlap / length)."""
-    p = overlap_join(calls, panel, by=["chrom", "svtype", "ac"])
-    ov = F.least("stop_a", "stop_b") - F.greatest("start_a", "start_b")
-    s = p.groupBy(F.col("name_a").alias("name"), (F.col("stop_a") - F.col("start_a")).alias("_l")).agg(F.sum(ov).alias("_o"))
+    p = overlap_join(calls, panel, by=["chrom", "svtype", "ac"], totals=True)
+    s = p.groupBy(F.col("name_a").alias("name"), (F.col("stop_a") - F.col("start_a")).alias("_l")).agg(F.sum("bases_b").alias("_o"))
     return s.withColumn("covered", F.col("_o") / F.col("_l")).where(F.col("covered") >= min_cover).select("name", "covered")
 
 
