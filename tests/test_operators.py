@@ -287,3 +287,63 @@ def test_overlap_totals_form_no_pairs(spark):
     d = spark.range(n).select(F.concat(F.lit("n"), "id").alias("name"), F.lit("c1").alias("chrom"), F.lit(0).cast("long").alias("start"), (F.col("id") + n).alias("stop"))
     r = iv.overlap_left_join(d, d, key=["name"], totals=True).agg(F.sum("n_b"), F.sum("bases_b")).first()
     assert r[0] == n * n and r[1] == sum((2 * (n - 1 - k) + 1) * (n + k) for k in range(n))
+
+
+def test_site_clusters_against_all_pairs(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(700):
+        t = rng.choice(["DEL", "DEL", "INS", "INS", "BND"])
+        p = rng.choice([rng.randrange(1500), rng.randrange(60_000)])
+        n = rng.choice([0, 1, 20, 90, 400, 1500, 2500, 6000]) + rng.randrange(40)
+        chr2 = "c2" if t == "BND" else "c1"
+        stop, svlen = (p + 1, rng.choice([-1, n, n, None])) if t == "INS" else (p + n, n)
+        alt = rng.choice(["<INS>", "<INS:ME:ALU>", "<INS:ME:L1>", None]) if t == "INS" else f"<{t}>"
+        rows.append((rng.choice([f"v{i:03d}"] * 12 + [f"v{i - 1:03d}", None]), rng.choice(["c1"] * 15 + [None]), chr2, None if i % 97 == 5 else p, stop, t, rng.choice(["+-", "+-", "-+"]), svlen, alt))
+    cols = ["vid", "chrom", "chr2", "pos", "stop", "svtype", "strands", "svlen", "alt"]
+    d = spark.createDataFrame(rows, "vid string, chrom string, chr2 string, pos long, stop long, svtype string, strands string, svlen long, alt string")
+
+    def clusters(dist, frac):
+        end = lambda r: None if r["svtype"] == "INS" and r["svlen"] is None else r["pos"] + r["svlen"] if r["svtype"] == "INS" else r["stop"]
+        free = lambda r: r["chrom"] != r["chr2"] or r["svtype"] == "INS" and r["svlen"] == -1
+        recs = [dict(zip(cols, r)) for r in rows]
+        recs = [r for r in recs if r["vid"] and r["chrom"] and r["pos"] is not None]
+        root = {r["vid"]: r["vid"] for r in recs}
+
+        def find(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for a in recs:
+            for b in recs:
+                if (a["pos"], a["vid"]) >= (b["pos"], b["vid"]) or any(a[c] != b[c] for c in ("chrom", "chr2", "svtype", "strands")):
+                    continue
+                if b["pos"] - a["pos"] >= dist or abs(a["stop"] - b["stop"]) >= dist:
+                    continue
+                if a["svtype"] == "INS" and a["alt"] != "<INS>" and (a["alt"] is None or a["alt"] != b["alt"]):
+                    continue
+                if frac > 0 and not (free(a) or free(b)):
+                    if end(a) is None or end(b) is None:
+                        continue
+                    ov = min(end(a), end(b)) - max(a["pos"], b["pos"])
+                    if ov <= 0 or ov < frac * max(end(a) - a["pos"], end(b) - b["pos"]):
+                        continue
+                x, y = sorted((find(a["vid"]), find(b["vid"])))
+                root[y] = x
+        return {v: find(v) for v in root}
+
+    for dist, frac in ((300, 0.5), (60, 0.8), (1, 0.1), (2000, 0.0)):
+        want = clusters(dist, frac)
+        rep = d.withColumn("_end", F.when(F.col("svtype") == "INS", F.col("pos") + F.col("svlen")).otherwise(F.col("stop")))
+        rep = rep.withColumn("_free", (F.col("chrom") != F.col("chr2")) | ((F.col("svtype") == "INS") & (F.col("svlen") == -1)))
+        got = {r["vid"]: r["_cc"] for r in cl._cell_components(rep, ["chrom", "chr2", "svtype", "strands"], dist, frac).where("chrom IS NOT NULL AND pos IS NOT NULL").collect()}
+        assert got == want and (dist == 1 or 1 < len(set(want.values())) < len(want))
+
+
+def test_dense_sites_make_no_pairs(spark):
+    n = 40_000  # 8 * 10^8 pairs, all linked
+    d = spark.range(n).select(F.format_string("v%06d", "id").alias("vid"), (1000 + F.col("id") % 200).alias("pos"), (9000 + F.floor(F.col("id") / 200)).alias("stop"))
+    d = d.withColumns({"chrom": F.lit("c1"), "chr2": F.lit("c1"), "svtype": F.lit("DEL"), "strands": F.lit("+-"), "alt": F.lit("<DEL>"), "svlen": F.col("stop") - F.col("pos")})
+    got = cl.cluster_sites(d, 300, 0.5).groupBy("cluster").count().collect()
+    assert [tuple(r) for r in got] == [("v000000", n)]
