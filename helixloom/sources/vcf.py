@@ -32,7 +32,9 @@ def parse_vcf_lines(lines: DataFrame, samples: list[str] | None = None):
     """
     names = sample_names(lines) if samples is None else _numbered(lines.sparkSession, samples)
     f = F.split("value", "\t")
-    rec = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(f.alias("f"))
+    # as a generator's output a line is made once, while a filter is pushed below the columns that make it and makes it for each mention
+    made = lines.select(F.explode(F.array("value")).alias("value"))
+    rec = made.where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(f.alias("f"))
     # flags have no '=': give them a value so that the map keeps them
     info = F.str_to_map(F.regexp_replace(F.col("f")[7], r"(^|;)([^=;]+)(?=;|$)", "$1$2=true"), F.lit(";"), F.lit("="))
     d = rec.withColumn("info", info)
@@ -69,10 +71,13 @@ def to_vcf_lines(sites: DataFrame, genotypes: DataFrame | None = None, samples:
         cell = F.struct("_i", F.lit(0).alias("late"), gt.alias("g"))
         g = genotypes.join(_numbered(sites.sparkSession, samples), "sample").groupBy("vid").agg(F.collect_list(cell).alias("_g"))
         d = sites.join(g, "vid", "left")
-        # one sort puts a null cell behind each written one; the first of each column stays
-        nulls = F.transform(F.sequence(F.lit(0), F.lit(len(samples) - 1)), lambda i: F.struct(i.alias("_i"), F.lit(1).alias("late"), F.lit("./.:.:.").alias("g"))) if samples else F.array().cast("array<struct<_i:int,late:int,g:string>>")
-        d = d.withColumn("_all", F.array_sort(F.concat(F.coalesce("_g", F.array().cast("array<struct<_i:int,late:int,g:string>>")), nulls)))
-        cells = F.transform(F.filter("_all", lambda x, k: F.coalesce(F.get("_all", k - 1)["_i"] != x["_i"], F.lit(True))), lambda x: x["g"])
+        # one sort puts a null cell behind each written one; the first of each column stays. Neighbours are zipped, as a lambda that names the sorted
+        # array may sort it anew for every cell; sort_array compares natively, array_sort by an interpreted lambda
+        cell_type = "array<struct<_i:int,late:int,g:string>>"
+        nulls = F.transform(F.sequence(F.lit(0), F.lit(len(samples) - 1)), lambda i: F.struct(i.alias("_i"), F.lit(1).alias("late"), F.lit("./.:.:.").alias("g"))) if samples else F.array().cast(cell_type)
+        d = d.withColumn("_all", F.sort_array(F.concat(F.coalesce("_g", F.array().cast(cell_type)), nulls)))
+        before = F.concat(F.array(F.lit(None)).cast(cell_type), F.col("_all"))  # one longer: its last cell meets a null
+        cells = F.zip_with("_all", before, lambda x, y: F.when(F.coalesce(x["_i"] != y["_i"], x["_i"].isNotNull()), x["g"]))
         cols += [F.lit("GT:GQ:RD_CN"), F.array_join(cells, "\t")]
     return d.select("chrom", "pos", F.concat_ws("\t", *cols).alias("value"))
 

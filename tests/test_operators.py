@@ -347,3 +347,18 @@ def test_dense_sites_make_no_pairs(spark):
     d = d.withColumns({"chrom": F.lit("c1"), "chr2": F.lit("c1"), "svtype": F.lit("DEL"), "strands": F.lit("+-"), "alt": F.lit("<DEL>"), "svlen": F.col("stop") - F.col("pos")})
     got = cl.cluster_sites(d, 300, 0.5).groupBy("cluster").count().collect()
     assert [tuple(r) for r in got] == [("v000000", n)]
+
+
+def test_vcf_lines_are_made_once_when_parsed(spark):
+    from helixloom.sources import vcf
+
+    rows = [("v1", "chr1", 5, 9, 4, "DEL", "chr1", "+-", "<DEL>", 1.0, "PASS", "depth", "RD", None, None), ("v2", "chr1", 7, 9, 2, "DUP", "chr1", "-+", "<DUP>", 1.0, "A,B", "depth", "RD", None, None)]
+    sites = spark.createDataFrame(rows, "vid string, chrom string, pos long, stop long, svlen long, svtype string, chr2 string, strands string, alt string, qual double, filter string, algorithms string, "
+                                  "evidence string, cpx_type string, cpx_intervals string")
+    gts = spark.createDataFrame([("v1", "S2", 0, 1, 9, 2), ("v1", "S2", 0, 0, 8, 2), ("v1", "S0", None, None, 7, None)], "vid string, sample string, a1 int, a2 int, gq int, rd_cn int")
+    lines = vcf.to_vcf_lines(sites, gts, ["S0", "S1", "S2"])
+    cells = {r["value"].split("\t")[2]: r["value"].split("\t")[9:] for r in lines.collect()}
+    assert cells == {"v1": ["./.:7:.", "./.:.:.", "0/0:8:2"], "v2": ["./.:.:."] * 3}  # the smaller of two cells of a sample, the null cell elsewhere
+    for d in vcf.parse_vcf_lines(lines.select("value"), ["S0", "S1", "S2"]):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sort_array(") + plan.count("array_sort(") == 1
