@@ -1,11 +1,12 @@
 """Licence scan: a trained classifier of paragraphs over sparse word n-grams.
 
-A multinomial logistic regression is trained on the templates' words, with words left out and corpus words around them, against a
-bounded sample of corpus paragraphs and sentences that use licence words otherwise (class ``unknown``). The probability that a
-family needs is calibrated on a second sample of corpus paragraphs; a prediction is confirmed by comparing the paragraph's
-n-grams with the family's templates. Paragraphs that name a licence in any wording are in neither sample. Column functions and Spark ML only.
+A multinomial logistic regression is trained on the templates' words, with words left out and corpus words around them, against
+corpus paragraphs and sentences that use licence words otherwise (class ``unknown``). The probability that a
+family needs is calibrated on the other corpus paragraphs; a prediction is confirmed by comparing the paragraph's
+n-grams with the family's templates. Paragraphs that name a licence in any wording are in neither half. Column functions and Spark ML only.
 
-Bound: the classifier sees at most ``SAMPLE`` corpus paragraphs, the calibration as many others, the first by their hash. A paragraph
+Every distinct corpus paragraph counts, half of them (by their hash) for training and half for calibration. Paragraphs are the same example when the
+same features are in them, so the regression and the quantile work on distinct feature sets and their numbers. A paragraph
 without any selected word has no feature, hence the prediction of the empty text, so scoring starts from the join of all words with the selected ones.
 """
 
@@ -16,11 +17,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, settle
 from .common import text_of
 
 UNKNOWN = "unknown"
-SAMPLE = 1500
+CORPUS_WEIGHT = 1500  # examples of the templates that the training paragraphs weigh as much as, at most
 QUANTILE = 0.998  # of the calibration's paragraphs, below the needed probability
 LEAST_P = 0.5
 CONFIRM = 0.6
@@ -92,44 +93,63 @@ def _template_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, line string, template int").withColumn("_w", tokens(F.col("line")))
 
 
-def _examples(spark: SparkSession, sample: DataFrame) -> DataFrame:
-    """(family, _w): templates, templates short of each word in turn, templates with corpus words on both sides, and the unknown class."""
+def _examples(spark: SparkSession) -> DataFrame:
+    """(family, _w): templates, templates short of each word in turn, and sentences of the unknown class."""
     t = _template_rows(spark)
     whole = t.select("family", "_w")
     left = t.select("family", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.concat(F.slice("_w", F.lit(1), i - 1), F.slice("_w", i + 1, F.size("_w"))))).alias("_w"))
-    ranked = sample.select("_w", (F.abs(F.xxhash64("line")) % len(TEMPLATES)).cast("int").alias("template"))
-    around = ranked.join(t.select("template", "family", F.col("_w").alias("_t")), "template").select("family", F.concat(F.slice("_w", 1, 8), "_t", F.slice("_w", 9, 8)).alias("_w"))
     other = spark.createDataFrame([(s,) for s in OTHER], "line string").select(F.lit(UNKNOWN).alias("family"), tokens(F.col("line")).alias("_w"))
-    return whole.unionByName(left).unionByName(around).unionByName(other).unionByName(sample.select(F.lit(UNKNOWN).alias("family"), "_w"))
+    return whole.unionByName(left).unionByName(other)
 
 
-def _names_licence(words: Column, specific: Column) -> Column:
+def _names_licence(words: Column, specific: list[str]) -> Column:
     """A word of notices alone, a pair of licence words from a template, or a form of "license" beside a licence's name."""
-    beside = F.exists(words, lambda w: w.rlike("^(un|re|sub)?licen[cs]")) & F.arrays_overlap(words, F.array(*map(F.lit, NAMES)))
-    return F.arrays_overlap(words, F.array(*map(F.lit, SURE))) | F.arrays_overlap(grams(words), specific) | beside
-
-
-def _samples(lines: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Two samples of distinct corpus paragraphs that name no licence: for training and for calibration."""
-    h = F.xxhash64("line")
-    first = lines.select(h.alias("_h")).distinct().orderBy("_h").limit(4 * size)  # of all paragraphs; some of them name licences
-    found = cut_lineage(lines.select("line", h.alias("_h")).join(F.broadcast(first), "_h", "left_semi").distinct()).withColumn("_w", tokens(F.col("line")))
-    t = _template_rows(lines.sparkSession).select(grams(F.col("_w")).alias("_g"))
-    pair = F.filter("_g", lambda g: (F.size(F.split(g, " ")) == 2) & ~F.exists(F.split(g, " "), lambda w: w.isin(*sorted(ORDINARY)) | (F.char_length(w) < 2)))
-    t = t.select(F.array_distinct(F.flatten(F.collect_list(pair))).alias("_specific"))  # one row of a few hundred words
-    found = found.join(t, F.lit(True)).where(~_names_licence(F.col("_w"), F.col("_specific")))
-    found = cut_lineage(found.select("line", "_w", "_h").orderBy("_h", "line").limit(2 * size))
-    odd = F.pmod(F.shiftright("_h", 4), F.lit(2))
-    return found.where(odd == 0).drop("_h"), found.where(odd == 1).drop("_h")
-
-
-def fit(lines: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, list[str], dict[str, float], float]:
+    has = lambda some: F.exists(words, lambda w: w.isin(*some))
+    parts = sorted({w for pair in specific for w in pair.split()})
+    beside = has(NAMES) & F.exists(words, lambda w: w.rlike("^(un|re|sub)?licen[cs]"))
+    return has(SURE) | beside | (has(parts) & F.exists(grams(words), lambda g: g.isin(*specific)))
+
+
+def _samples(lines: DataFrame, bit: int = 4) -> tuple[DataFrame, DataFrame]:
+    """All corpus paragraphs that name no licence, (line, _w, _h), in two halves by a bit of their hash _h: for training and for calibration."""
+    pairs = {r["_g"] for r in _template_rows(lines.sparkSession).select(F.explode(grams(F.col("_w"))).alias("_g")).distinct().collect()}  # bounded by the templates
+    specific = sorted(g for g in pairs if " " in g and not any(w in ORDINARY or len(w) < 2 for w in g.split()))
+    # as a generator's output the words are made once, while a filter on an alias is pushed below it and makes them for each mention
+    found = lines.select("line", F.xxhash64("line").alias("_h"), F.explode(F.array(tokens(F.col("line")))).alias("_w")).where(~_names_licence(F.col("_w"), specific))
+    odd = F.pmod(F.shiftright("_h", bit), F.lit(2))
+    return found.where(odd == 0), found.where(odd == 1)
+
+
+def _feature_sets(spark: SparkSession, lines: DataFrame, features: list[str]) -> DataFrame:
+    """(use, family, features, n): how many distinct corpus paragraphs have which features. ``use`` is 0 for training paragraphs, 1 for the words around a
+    template in their middle, and 2 for calibration. A paragraph leaves its partition as a hash and its features."""
+    templates = [(r["family"], r["_w"]) for r in _template_rows(spark).orderBy("template").collect()]  # bounded by the templates
+    single = [g for g in features if " " not in g]
+
+    def found(words):
+        return F.array_sort(F.array_distinct(F.filter(grams(words), lambda g: g.isin(*features))))
+
+    none = F.array().cast("array<string>")
+    of = lambda use, family, f: F.struct(F.lit(use).alias("use"), family.alias("family"), f.alias("features"))
+    at = (F.abs(F.xxhash64("line")) % len(templates) + 1).cast("int")
+    middle = F.element_at(F.array(*[F.array(*map(F.lit, w)) for _, w in templates]), at)
+    around = of(1, F.element_at(F.array(*[F.lit(f) for f, _ in templates]), at), found(F.col("_m")))
+    # a pair that is a feature has a selected word
+    own = lambda use: of(use, F.lit(UNKNOWN), F.when(F.exists("_w", lambda w: w.isin(*single)), found(F.col("_w"))).otherwise(none))
+    train, held = _samples(lines)
+    train = train.withColumn("_m", F.concat(F.slice("_w", 1, 8), middle, F.slice("_w", 9, 8)))
+    rows = train.select("_h", F.array(own(0), around).alias("_x")).unionByName(held.select("_h", F.array(own(2)).alias("_x")))
+    return settle(rows.distinct().select(F.inline_outer("_x"))  # no array is empty: the outer form has no filter to push down
+                  .groupBy("use", "family", "features").agg(F.count("*").alias("n")))
+
+
+def fit(lines: DataFrame, corpus_weight: int = CORPUS_WEIGHT) -> tuple[DataFrame, list[str], dict[str, float], float]:
     """(gram, family, w) weights, the selected single words, the families' intercepts, and the probability a family needs.
 
-    With no corpus paragraphs the classifier is trained on the fixed sentences alone and needs ``LEAST_P``.
+    Training paragraphs share the weight ``corpus_weight`` if there are more of them than that. With no corpus paragraphs the classifier is trained on
+    the fixed sentences alone and needs ``LEAST_P``.
     """
     spark = lines.sparkSession
-    train, held = _samples(lines, sample)
     in_templates = _template_rows(spark).select(F.explode(grams(F.col("_w"))).alias("gram")).distinct()
     # a pair counts if one of its words is selected; single digits select nothing
     names = sorted(r["gram"] for r in in_templates.collect())  # bounded by the templates
@@ -138,34 +158,41 @@ def fit(lines: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, list[str], d
     labels = [UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
     at = F.create_map(*[x for i, f in enumerate(labels) for x in (F.lit(f), F.lit(float(i)))])
     space = F.array(*[F.lit(g) for g in features])
-
-    def vectors(rows):
-        g = rows.withColumn("_g", grams(F.col("_w")))
-        return g.withColumn("features", array_to_vector(F.transform(space, lambda f: F.array_contains("_g", f).cast("double"))))
-
-    rows = vectors(_examples(spark, train)).select(F.element_at(at, F.col("family")).alias("label"), "features").repartition(4)
-    model = LogisticRegression(family="multinomial", maxIter=60, regParam=0.003).fit(rows)
+    sets = _feature_sets(spark, lines, features)
+    total = sets.where("use = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("sets")).first()
+    each = min(1.0, corpus_weight / max(total["n"], 1))
+    fixed = _examples(spark).select("family", grams(F.col("_w")).alias("_g"), F.lit(1.0).alias("weight"))
+    corpus = sets.where("use < 2").select("family", F.col("features").alias("_g"), (F.col("n") * each).alias("weight"))
+    vector = array_to_vector(F.transform(space, lambda f: F.array_contains("_g", f).cast("double")))
+    rows = fixed.unionByName(corpus).select(F.element_at(at, F.col("family")).alias("label"), vector.alias("features"), "weight").repartition(4 + total["sets"] // 5000)
+    model = LogisticRegression(family="multinomial", maxIter=60, regParam=0.003, weightCol="weight").fit(rows)
     m, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     weights = spark.createDataFrame([(g, labels[k], float(m[k, j])) for j, g in enumerate(features) for k in range(len(labels))], "gram string, family string, w double")
     bias = {f: float(x) for f, x in zip(labels, b)}
-    p = predict(held.select("line"), weights, bias, 0.0).groupBy("line").agg(F.max("p").alias("p"))
-    # lines without a feature are in the quantile too
-    most = held.select("line").join(p, "line", "left").agg(F.percentile(F.coalesce("p", F.lit(0.0)), QUANTILE)).first()[0]
-    return weights, sorted(words), bias, min(0.99, max(LEAST_P, most or 0.0))
+    held = sets.where("use = 2").select("features", "n")
+    p = _families(held.select(F.col("features").alias("line"), F.explode("features").alias("gram")), weights, bias).groupBy(F.col("line").alias("features")).agg(F.max("p").alias("p"))
+    # lines without a feature are in the quantile too; equal probabilities differ in the order of their sums
+    most = held.join(p, "features", "left").agg(F.percentile(F.coalesce("p", F.lit(0.0)), QUANTILE, F.col("n"))).first()[0]
+    return weights, sorted(words), bias, min(0.99, max(LEAST_P, (most or 0.0) - 1e-9))
 
 
-def predict(lines: DataFrame, weights: DataFrame, bias: dict[str, float], least: float = LEAST_P) -> DataFrame:
-    """(line, family, p, top): each distinct line with its families of at least ``least``; p is the family's probability against ``unknown``
-    alone, so that two families of one line don't share it; ``top`` marks the likeliest family."""
+def _families(found: DataFrame, weights: DataFrame, bias: dict[str, float]) -> DataFrame:
+    """(line, family, p, top) for each line of ``found`` (line, gram) that has a feature, and each family."""
     table = F.broadcast(weights.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("family", "w"))).alias("ws")))  # bounded by the templates
     names = sorted(bias)
-    g = lines.select("line").distinct().select("line", F.explode(grams(tokens(F.col("line")))).alias("gram")).join(table, "gram")
+    g = found.join(table, "gram")
     sums = g.groupBy("line").agg(*[F.sum(F.col("ws")[k]["w"]).alias(f"z{k}") for k in range(len(names))])
     at = {f: F.col(f"z{k}") + bias[f] for k, f in enumerate(names)}
     z = F.array(*[F.struct(x.alias("z"), F.lit(f).alias("family")) for f, x in at.items() if f != UNKNOWN])
     each = sums.select("line", at[UNKNOWN].alias("_u"), z.alias("_z")).select("line", "_u", F.array_max("_z").alias("_best"), F.explode("_z").alias("_x"))
-    p = each.select("line", F.col("_x.family").alias("family"), (1 / (1 + F.exp(F.col("_u") - F.col("_x.z")))).alias("p"), (F.col("_x") == F.col("_best")).alias("top"))
-    return p.where(F.col("p") >= least)
+    return each.select("line", F.col("_x.family").alias("family"), (1 / (1 + F.exp(F.col("_u") - F.col("_x.z")))).alias("p"), (F.col("_x") == F.col("_best")).alias("top"))
+
+
+def predict(lines: DataFrame, weights: DataFrame, bias: dict[str, float], least: float = LEAST_P) -> DataFrame:
+    """(line, family, p, top): each distinct line with its families of at least ``least``; p is the family's probability against ``unknown``
+    alone, so that two families of one line don't share it; ``top`` marks the likeliest family."""
+    found = lines.select("line").distinct().select("line", F.explode(grams(tokens(F.col("line")))).alias("gram"))
+    return _families(found, weights, bias).where(F.col("p") >= least)
 
 
 def _template_grams(spark: SparkSession) -> DataFrame:
@@ -175,7 +202,7 @@ def _template_grams(spark: SparkSession) -> DataFrame:
     return t.join(own, F.lit(True)).select("_f", "_t", F.array_intersect("_t", "_all").alias("_own"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", corpus_weight: int = CORPUS_WEIGHT) -> DataFrame:
     """(doc_id, paragraph, line, family, p, template_share, confirmed), a row for each family of a paragraph; ``confirmed`` if a template
     of the family has at least ``CONFIRM`` of its n-grams in it. Families other than the likeliest one need that confirmation, by the n-grams of
     their own too.
@@ -184,7 +211,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: in
     """
     spark = docs.sparkSession
     lines = paragraphs(docs, id_col, text)
-    weights, words, bias, needed = fit(lines, sample)
+    weights, words, bias, needed = fit(lines, corpus_weight)
     chosen = F.broadcast(spark.createDataFrame([(w,) for w in words], "word string"))  # bounded by the templates
     held = lines.select("doc_id", "paragraph", "line", F.explode(tokens(F.col("line"))).alias("word")).join(chosen, "word", "left_semi")
     held = cut_lineage(held.select("doc_id", "paragraph", "line").distinct())

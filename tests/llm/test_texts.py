@@ -251,6 +251,18 @@ def test_licences(spark):
     assert licences.scan(docs(spark, [])).count() == 0
 
 
+def test_licences_learn_from_every_paragraph(spark):
+    lines = [f"River {i} walks past the quiet stone house" for i in range(9000)] + [f"The apache of house {i} walks" for i in range(30)]
+    lines += ["Released under the MIT License.", "copyright someone", "the river is relicensed to gnu"]  # these name a licence
+    rows = docs(spark, [(i, "\n".join(lines[i::50]) + "\n" + lines[0]) for i in range(50)])
+    n = Counter()
+    for r in licences._feature_sets(spark, licences.paragraphs(rows, "doc_id", "text"), ["apache", "mit"]).collect():
+        n[r["use"]] += r["n"]
+        n[r["use"], tuple(r["features"])] += r["n"]
+    assert n[0, ()] + n[2, ()] == 9000 and n[0, ("apache",)] + n[2, ("apache",)] == 30 and n[0] + n[2] == 9030
+    assert n[1] == n[0] > 4000 and n[2] > 4000
+
+
 def test_bpe_memo_keeps_what_is_in_use(monkeypatch):
     from helixloom.llm import bpe
 
