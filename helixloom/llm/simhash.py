@@ -112,7 +112,8 @@ def near_links(fps: DataFrame, fp: str = "fp", blocks: int = BLOCKS, bucket: int
     big = cut_lineage(keyed.groupBy("s", "key").count().where(F.col("count") > bucket).select("s", "key"))
     big_sets = F.broadcast(big) if big.count() < 10_000 else big  # measured: a row is 12 bytes
     small = keyed.join(big_sets, ["s", "key"], "left_anti")
-    a, b = small.alias("a"), small.alias("b")
+    # a fingerprint becomes a row per block set, which the optimizer's estimates don't know: these joins never broadcast
+    a, b = small.alias("a"), small.alias("b").hint("merge")
     diff = F.col("a.x").bitwiseXOR(F.col("b.x"))
     near = F.lit(True)
     for i, c in enumerate(packs):
@@ -144,7 +145,7 @@ def _meeting_links(keyed: DataFrame, masks: list[int]) -> DataFrame:
 
     met = keyed.select("s", "x").mapInPandas(meet, "s int, z long, x long")
     least = met.groupBy("s", "z").agg(F.min("x").alias("u"), F.max("x").alias("w")).where("u < w").select("s", "z", "u")
-    return met.join(least, ["s", "z"]).where("u < x").select("u", F.col("x").alias("v")).distinct()
+    return met.hint("merge").join(least, ["s", "z"]).where("u < x").select("u", F.col("x").alias("v")).distinct()
 
 
 def _classes(rows: DataFrame, **kw) -> DataFrame:
