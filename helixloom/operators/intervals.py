@@ -327,9 +327,10 @@ def neighbours(points, refs, by=["chrom"], pos="pos", tile: int = TILE) -> DataF
     w_hi = Window.partitionBy(*by).orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, -1)
     t = u.groupBy(*by, "_t").agg(F.min("_rp").alias("_mn"), F.max("_rp").alias("_mx"))
     t = t.select(*by, "_t", F.max("_mx").over(w_lo).alias("_lo"), F.min("_mn").over(w_hi).alias("_hi"))
-    w = Window.partitionBy(*by, "_t").orderBy(pos)
+    # both frames grow from their first row: one that shrinks towards the last would be summed up anew for every row
+    up, down = (Window.partitionBy(*by, "_t").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(pos), F.desc(pos)))
     u = u.join(t, [*by, "_t"])
-    prev = F.coalesce(F.max("_rp").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_lo"))
-    nxt = F.coalesce(F.min("_rp").over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("_hi"))
+    prev = F.coalesce(F.max("_rp").over(up), F.col("_lo"))
+    nxt = F.coalesce(F.min("_rp").over(down), F.col("_hi"))
     u = u.withColumn("prev_pos", prev).withColumn("next_pos", nxt)
     return u.where("_pt").select(*by, pos, "prev_pos", "next_pos")
