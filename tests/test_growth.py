@@ -4,6 +4,7 @@ import random
 
 from helixloom.operators import intervals as iv
 from helixloom.operators import resolve as rs
+from helixloom.operators import stitch
 
 
 def plan_of(df):
@@ -29,3 +30,27 @@ def test_depth_of_an_interval_without_controls(spark):
     s = spark.createDataFrame([("a", "MALE"), ("b", "FEMALE")], "sample string, sex string")
     got = {r["vid"]: (r["case_del"], r["case_wt"], r["ctrl_wt"], r["assessment"]) for r in rs.assess_depth(iv_, g, c, s).collect()}
     assert got == {"v": (2, 0, 0, "DEL"), "w": (1, 0, 1, "DEL")}
+
+
+def test_dense_fragments_are_scanned_by_few_states(spark):
+    """Records that end alike go on alike: the scan holds their states, not each of them."""
+    rnd = random.Random(6)
+    rows = [(f"f{i:04d}", s, s + rnd.randrange(50, 10_000, 200)) for i, s in enumerate(sorted(rnd.randrange(400_000) for _ in range(1200)))]
+    rows = [(v, "g", s, e, min(2000, (e - s) // 5), (e - s) // 5) for v, s, e in rows]
+    rows += [(rows[i][0], "g", *rows[i + 1][2:]) for i in (10, 700)]  # a name that comes twice
+    scan, live, want = stitch._Scan(0, "g", 2000), [], {}
+    for v, _, s, e, pad, slack in sorted(rows, key=lambda r: (r[2], r[3], r[0])):
+        scan.add(s, e, pad, slack, v)
+        on = [o for o in live if o[1] + o[2] > s - pad and min(o[1], e) - s <= min(o[3], slack)]
+        for o in on:
+            o[1], o[2], o[3] = e, max(o[2], pad), max(o[3], slack)
+        if not on:
+            live.append([v, e, pad, slack])
+        for h in [o[0] for o in on] or [v]:
+            want.setdefault(h, []).append((s, e, v))
+    assert len(scan.open) < 100 < sum(o[1] + o[2] >= rows[-3][2] - 2000 for o in live)
+    want = {(h, m[0][0], m[-1][1], ",".join(v for _, _, v in m)) for h, m in ((h, sorted(m)) for h, m in want.items())}
+    d = spark.createDataFrame(rows, "vid string, grp string, start long, stop long, pad long, slack long")
+    for parts in (1, 5):
+        got = [(r["head"], r["pos"], r["stop"], r["members"]) for r in stitch.stitched(d, 2000, parts).collect()]
+        assert len(got) == len(want) and set(got) == want
