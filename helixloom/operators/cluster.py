@@ -296,6 +296,66 @@ def best_genotypes(rows: DataFrame, by: list[str], fields: list[str], order: str
     return rows.groupBy(*by).agg(*[F.max_by(f, rank).alias(f) for f in fields])
 
 
+def reciprocal_components(rows: DataFrame, frac: float, key: str = "name", by: list[str] = ["chrom", "svtype"], name: str = "component") -> DataFrame:
+    """``rows`` with the smallest ``key`` of its component of intervals that overlap by ``frac`` of both; pairs aren't listed.
+
+    Intervals of one cell (length class, place of either end) all overlap enough, so cells are linked instead of intervals: neighbouring
+    cells by one member each, then cells of different components by one member each, and members are compared only between cells that
+    are in different components still and may hold a linked pair. Rows of one key are one node; intervals without length link nothing.
+    """
+    if not 0 < frac <= 1:
+        raise ValueError("frac must be in (0, 1]")
+    size, g, at = F.col("stop") - F.col("start"), frac / (2 - frac), [*by, "_k", "_x", "_y"]
+    known = F.col("stop") > F.col("start")
+    for c in (key, *by):
+        known = known & F.col(c).isNotNull()
+    known = F.coalesce(known, F.lit(False))
+    r = rows.where(known).withColumn("_k", F.floor(F.log2(size.cast("double")) - 1e-9).cast("int"))
+    w = F.floor((1 - frac) * F.pow(F.lit(2.0), F.col("_k") - 1) * (1 - 1e-9)).cast("long") + 1  # ends of a cell differ by half of what an overlap may lack
+    r = r.withColumns({"_x": F.floor(F.col("start") / w).cast("long"), "_y": F.floor(F.col("stop") / w).cast("long")})
+    geo = [F.col(c).cast("long").alias(c) for c in ("start", "stop")]
+    cells = r.select(key, *at, *geo).groupBy(*at).agg(
+        F.min(F.struct(key, "start", "stop")).alias("_r"), *[x(c).alias(c + n) for c in ("start", "stop") for x, n in ((F.min, "0"), (F.max, "1"))])
+    cells = settle(cells.withColumn("_cell", F.monotonically_increasing_id()))
+    rep = cells.select(*at, "_cell", "_r.start", "_r.stop")
+
+    def merged(d, edges, old, new):
+        cc = connected_components(edges.distinct()).withColumnsRenamed({"node": old, "component": new})
+        return d.join(cc, old, "left").withColumn(new, F.coalesce(new, old))
+
+    beside = F.array(*[F.struct((F.col("_x") + i).alias("_x"), (F.col("_y") + j).alias("_y")) for i, j in ((1, 0), (0, 1), (1, 1))])
+    a = rep.select(*by, "_k", F.col("_cell").alias("u"), F.col("start").alias("_s"), F.col("stop").alias("_e"), F.inline(beside))
+    edges = a.hint("merge").join(rep, at).where(reciprocal_ok(F.col("_s"), F.col("_e"), F.col("start"), F.col("stop"), frac)).select("u", F.col("_cell").alias("v"))
+    # keys found in several cells, first by hash, so that keys are not shuffled
+    h, cell = F.xxhash64(key).alias("_h"), F.xxhash64(*at).alias("_c")
+    twice = settle(r.select(h, cell).groupBy("_h").agg(F.min("_c").alias("_a"), F.max("_c").alias("_z")).where("_a <> _z").select("_h"))
+    again = r.select(key, *at, h).join(twice, "_h", "left_semi").join(cells.select(*at, "_cell"), at).select(key, "_cell").distinct()
+    edges = edges.unionByName(again.select(F.min("_cell").over(Window.partitionBy(key)).alias("u"), F.col("_cell").alias("v")).where("u <> v"))
+    cells = settle(merged(cells, edges, "_cell", "_c1"))
+    rep = cells.select(*by, "_c1", "_r.start", "_r.stop")
+    edges = reciprocal_join(rep, rep, frac, by=by, condition=F.col("_c1_a") < F.col("_c1_b")).select(F.col("_c1_a").alias("u"), F.col("_c1_b").alias("v"))
+    cells = settle(merged(cells, edges, "_c1", "_c2"))
+    # an interval is the shorter by half of what it may lack at most than the span of its cell, so spans of linked intervals overlap by ``g``
+    box = cells.select(*by, "_cell", "_c2", F.col("start0").alias("start"), F.col("stop1").alias("stop"), "start1", "stop0")
+    most = F.least("stop_a", "stop_b") - F.greatest("start_a", "start_b")
+    maybe = most >= frac * F.greatest(F.col("stop0_a") - F.col("start1_a"), F.col("stop0_b") - F.col("start1_b"))
+    near = reciprocal_join(box, box, g * (1 - 1e-9), by=by, condition=(F.col("_c2_a") < F.col("_c2_b")) & maybe)
+    near = settle(near.select("_cell_a", "_cell_b", "_c2_a", "_c2_b").distinct())
+    open_ = near.select(F.explode(F.array("_cell_a", "_cell_b")).alias("_cell")).distinct()
+    m = settle(r.select(*at, *geo).join(cells.select(*at, "_cell").join(open_, "_cell", "left_semi"), at).select("_cell", "start", "stop").distinct())
+    x, y = (m.select(*[F.col(c).alias(f"{c}_{i}") for c in m.columns]) for i in "ab")
+    both = reciprocal_ok(F.col("start_a"), F.col("stop_a"), F.col("start_b"), F.col("stop_b"), frac)
+    edges = near.hint("merge").join(x, "_cell_a").join(y, "_cell_b").where(both).select(F.col("_c2_a").alias("u"), F.col("_c2_b").alias("v"))
+    label = merged(cells.select(*at, "_c2", F.col(f"_r.{key}").alias("_first")), edges, "_c2", "_c3")
+    label = label.join(label.groupBy("_c3").agg(F.min("_first").alias(name)), "_c3").select(*at, name)
+    out = r.join(label, at).select(*rows.columns, name)
+    rest = rows.where(~known)
+    if rest.isEmpty():
+        return out
+    named = out.select(key, name).join(rest.select(key), key, "left_semi").distinct()
+    return out.unionByName(rest.join(named, key, "left").select(*rows.columns, F.coalesce(name, key).alias(name)))
+
+
 def bed_cluster(calls: DataFrame, frac: float = 0.8, merge_coordinates: bool = False, cluster="cluster") -> DataFrame:
     """Cluster copy-number calls by reciprocal overlap within type; one row per (cluster, sample).
 

@@ -4,8 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import r6
 from ..operators import cluster as cl
-from ..operators.graph import label_components
-from ..operators.intervals import reciprocal_join
 from .registry import query
 
 # connected components by closure over a symmetric edge list e(a, b) on nodes n(node)
@@ -22,8 +20,7 @@ _RO_EDGES = """n AS (SELECT name AS node FROM fx_calls),
 @query("connected_components", f"WITH RECURSIVE {_RO_EDGES}, {CC} SELECT node AS name, label AS component FROM lab")
 def _(t):
     c = t.calls.select("chrom", "svtype", "start", "stop", "name")
-    e = reciprocal_join(c, c, 0.8, condition=F.col("name_a") < F.col("name_b"))
-    return label_components(c.select("name"), e, "name", "name_a", "name_b")
+    return cl.reciprocal_components(c, 0.8).select("name", "component")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 import random
 
+from helixloom.operators import cluster as cl
 from helixloom.operators import intervals as iv
 from helixloom.operators import resolve as rs
 from helixloom.operators import stitch
@@ -54,3 +55,31 @@ def test_dense_fragments_are_scanned_by_few_states(spark):
     for parts in (1, 5):
         got = [(r["head"], r["pos"], r["stop"], r["members"]) for r in stitch.stitched(d, 2000, parts).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def _roots(nodes, linked):
+    parent = {n: n for n in nodes}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in linked:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    return {n: root(n) for n in nodes}
+
+
+def test_reciprocal_components_without_pairs(spark):
+    """Names that repeat are one node; intervals without length link nothing; dense copies make few edges."""
+    rnd = random.Random(7)
+    schema = "name string, chrom string, svtype string, start long, stop long"
+    for frac, reach in ((0.8, 6000), (0.5, 60_000), (0.95, 900), (1.0, 60)):
+        rows = [(f"n{i:03d}", rnd.choice("cd"), "DEL", s := rnd.randrange(reach), s + int(2 ** rnd.uniform(0, 12))) for i in range(220)]
+        rows += [(f"z{i}", "c", "DEL", 5, 5) for i in range(3)] + [("z9", None, "DEL", 5, 50), ("n003", "c", "DEL", 90, 190), rows[7], ("z0", "d", "DEL", 10, 9), (None, "c", "DEL", 90, 190)]
+        known = [r for r in rows if None not in r and r[4] > r[3]]
+        linked = [(a[0], b[0]) for a in known for b in known if a[1] == b[1] and (o := min(a[4], b[4]) - max(a[3], b[3])) > 0 and o >= frac * (a[4] - a[3]) and o >= frac * (b[4] - b[3])]
+        want = _roots({r[0] for r in rows if r[0]}, linked)
+        got = cl.reciprocal_components(spark.createDataFrame(rows, schema), frac).collect()
+        assert len(got) == len(rows) and {(r["name"], r["component"]) for r in got} == {*want.items(), (None, None)}
