@@ -363,8 +363,7 @@ def bed_cluster(calls: DataFrame, frac: float = 0.8, merge_coordinates: bool = F
     """
     geo = ["chrom", "svtype", "start", "stop"]
     node = calls.groupBy(*geo).agg(F.min("name").alias("node"))
-    pairs = reciprocal_join(node, node, frac, condition=F.col("node_a") < F.col("node_b"))
-    lab = label_components(node, pairs, "node", "node_a", "node_b", "_cc")
+    lab = reciprocal_components(node, frac, "node", name="_cc")
     # name of a component = its smallest member name
     rows = calls.join(lab.select(*geo, F.col("_cc").alias(cluster)), geo)
     per = rows.groupBy(cluster, "chrom", "svtype", "sample").agg(
