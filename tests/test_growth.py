@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from helixloom.operators import cluster as cl
+from helixloom.operators import evidence as ev
 from helixloom.operators import intervals as iv
 from helixloom.operators import resolve as rs
 from helixloom.operators import stitch
@@ -83,3 +86,24 @@ def test_reciprocal_components_without_pairs(spark):
         want = _roots({r[0] for r in rows if r[0]}, linked)
         got = cl.reciprocal_components(spark.createDataFrame(rows, schema), frac).collect()
         assert len(got) == len(rows) and {(r["name"], r["component"]) for r in got} == {*want.items(), (None, None)}
+
+
+def test_balance_totals_are_the_counts_of_the_windows(spark):
+    """Also long events, whose middle alone counts, events that come twice, samples without a name and places without SNPs."""
+    rnd = random.Random(8)
+    events = [(f"v{i:02d}", rnd.choice("cde"), s := rnd.randrange(-20, 3000), s + rnd.choice([0, 1, 5, 90, 700, 1500])) for i in range(60)]
+    events += [events[3], ("v03", "c", 10, 60), (None, "c", 500, 900), ("v99", None, 1, 50), ("v98", "c", 900, 800)]
+    snps = [(rnd.choice("cd"), rnd.randrange(1, 4000), 0.5, rnd.choice(["S1", "S2", "S3", None])) for _ in range(600)] + [(None, 5, 0.5, "S1"), ("c", None, 0.5, "S1")]
+    e = spark.createDataFrame(events, "vid string, chrom string, start long, stop long")
+    b = spark.createDataFrame(snps, "chrom string, pos long, baf double, sample string")
+    for big in (600, 1_000_000):
+        want = ev.balance_counts(ev.balance_windows(e, b, big))
+        got = ev.balance_totals(e, b, big, tile=256)
+        assert got.columns == want.columns and got.count() > 80
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        c = spark.createDataFrame([(f"v{i:02d}", s) for i in range(40) for s in ("S1", "S2")] + [("v01", "S1"), (None, "S1"), ("v05", None)], "vid string, sample string")
+        w = b.withColumn("baf", F.col("pos") % 7 / 7.0)
+        ks = ev.balance_ks(ev.balance_windows(e, w, big, inside=True, carriers=c)), ev.balance_ks(ev.balance_windows(e, w, big), c)
+        assert ks[0].count() > 10 and sorted(map(tuple, ks[0].collect()), key=str) == sorted(map(tuple, ks[1].collect()), key=str)
+        mid, whole = ev.balance_windows(e, b, big, inside=True), ev.balance_windows(e, b, big).where("region = 'inside'")
+        assert sorted(map(tuple, mid.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
